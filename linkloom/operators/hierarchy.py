@@ -75,29 +75,25 @@ def expand_hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "pa
             *([F.when(F.col("s_id").isNull(), F.col("via")).otherwise(F.concat("s_via", F.array("s_id"), "via")).alias("via")] if with_path else []),
         )
 
-    done: DataFrame | None = None
-    loop = F.col("parent").isNotNull()
-    for k, table in enumerate(reversed(rounds)):
+    # An anchor is kept longer than what hangs on it: spliced nodes hang on nodes of later rounds, raked ones also on
+    # nodes spliced in their own round.
+    done: list[DataFrame] = []
+    for table in reversed(rounds):
+        loop = F.col("parent").isNotNull()
         ends = table.filter("step = 'end'").select(
             "id",
             F.when(loop, F.coalesce("low", "id")).otherwise(F.col("id")).alias("root"),
             F.when(loop, -1).otherwise(0).alias("depth"),
             *([F.when(~loop, F.array("id")).alias("path")] if with_path else []),
         )
-        parts = [ends]
-        if done is not None:
-            parts.append(_resolve(table.filter("step = 'splice'"), done, with_path))
-        above = done
-        for p in parts:
-            above = p if above is None else above.unionByName(p)
-        parts.append(_resolve(table.filter("step = 'rake'"), above, with_path))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        last = k == len(rounds) - 1
-        fresh = out if last else scratch.save(out)
-        done = fresh if done is None else done.unionByName(fresh)
-    return done
+        spliced = _resolve(table.filter("step = 'splice'"), scratch.together(*done), with_path) if done else None
+        done.append(scratch.save(ends if spliced is None else ends.unionByName(spliced)))
+        raked = _resolve(table.filter("step = 'rake'"), scratch.together(*done), with_path)
+        if table is rounds[0]:
+            return scratch.together(*done).unionByName(raked)
+        done.append(scratch.save(raked))
+        scratch.drop(table)
+    raise AssertionError("there is always a first round")
 
 
 def _resolve(records: DataFrame, known: DataFrame, with_path: bool) -> DataFrame:

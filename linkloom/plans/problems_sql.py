@@ -12,7 +12,7 @@ first AS (
 _REFS = f"""
 WITH {_FIRST},
 refs AS (
-  SELECT 'message_log.causation_id' AS ref_field, mid AS record_id, cause AS ref_id, ordinal AS seq, created_at AS at FROM first WHERE cause IS NOT NULL
+  SELECT 'message_log.causation_id' AS ref_field, mid AS record_id, cause AS ref_id, ordinal AS seq, created_at AS stamp FROM first WHERE cause IS NOT NULL
   UNION ALL
   SELECT DISTINCT 'message_log.artifact_refs', mid, lower(trim(r, ' ' || chr(9))), NULL, created_at
   FROM (SELECT mid, created_at, unnest(artifact_refs) AS r FROM first) WHERE lower(trim(r, ' ' || chr(9))) <> ''
@@ -25,10 +25,10 @@ orphans AS (
     AND NOT EXISTS (SELECT 1 FROM first p WHERE p.mid = r.ref_id AND p.ordinal < r.seq)
   UNION ALL
   SELECT * FROM refs r WHERE ref_field = 'message_log.artifact_refs'
-    AND NOT EXISTS (SELECT 1 FROM stage_artifact p WHERE lower(trim(p.artifact_ref, ' ' || chr(9))) = r.ref_id AND p.registered_at <= r.at AND (p.deleted_at IS NULL OR p.deleted_at > r.at))
+    AND NOT EXISTS (SELECT 1 FROM stage_artifact p WHERE lower(trim(p.artifact_ref, ' ' || chr(9))) = r.ref_id AND p.registered_at <= r.stamp AND (p.deleted_at IS NULL OR p.deleted_at > r.stamp))
   UNION ALL
   SELECT * FROM refs r WHERE ref_field = 'hero_groups.entity_ids'
-    AND NOT EXISTS (SELECT 1 FROM object_entity p WHERE lower(trim(p.entity_id, ' ' || chr(9))) = r.ref_id AND p.recorded_at <= r.at AND (p.retired_at IS NULL OR p.retired_at > r.at))
+    AND NOT EXISTS (SELECT 1 FROM object_entity p WHERE lower(trim(p.entity_id, ' ' || chr(9))) = r.ref_id AND p.recorded_at <= r.stamp AND (p.retired_at IS NULL OR p.retired_at > r.stamp))
 )"""
 
 _TREE = f"""
@@ -55,12 +55,12 @@ tree AS (
 SQL = {
     "p2_found": f"{_REFS} SELECT ref_field, record_id, ref_id FROM orphans",
     "p2_report": f"""{_REFS}
-SELECT ref_field, strftime(at, '%Y-%m') AS period, count(*) FILTER (o = 0) AS n_refs, count(*) FILTER (o = 1) AS n_orphans
-FROM (SELECT ref_field, at, 0 AS o FROM refs UNION ALL SELECT ref_field, at, 1 FROM orphans) GROUP BY 1, 2""",
+SELECT ref_field, strftime(stamp, '%Y-%m') AS period, count(*) FILTER (WHERE o = 0) AS n_refs, count(*) FILTER (WHERE o = 1) AS n_orphans
+FROM (SELECT ref_field, stamp, 0 AS o FROM refs UNION ALL SELECT ref_field, stamp, 1 FROM orphans) GROUP BY 1, 2""",
     "p3_found": f"{_TREE} SELECT message_id, root_id, depth FROM tree",
     "p3_paths": f"{_TREE} SELECT message_id, root_id, depth, path FROM tree",
     "p3_descendants": f"""{_TREE}, pairs AS (
-  SELECT unnest(string_split(path, '>')) AS message_id, depth, generate_subscripts(string_split(path, '>'), 1) - 1 AS at FROM tree WHERE path IS NOT NULL
+  SELECT unnest(string_split(path, '>')) AS message_id, depth, generate_subscripts(string_split(path, '>'), 1) - 1 AS place FROM tree WHERE path IS NOT NULL
 )
-SELECT message_id, count(*) AS n_descendants, count(*) FILTER (depth - at = 1) AS n_children, CAST(max(depth - at) AS INTEGER) AS height FROM pairs WHERE at < depth GROUP BY 1""",
+SELECT message_id, count(*) AS n_descendants, count(*) FILTER (WHERE depth - place = 1) AS n_children, CAST(max(depth - place) AS INTEGER) AS height FROM pairs WHERE place < depth GROUP BY 1""",
 }
