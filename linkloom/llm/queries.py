@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.ids import id_form
-from linkloom.llm import components, splits
+from linkloom.llm import bpe, components, neighbors, splits
 from linkloom.llm.queries_sql import SQL  # noqa: F401
 from linkloom.sources.tables import table
 
@@ -44,4 +46,25 @@ def p4_balance(spark: SparkSession, d: str) -> DataFrame:
     return p4_split(spark, d).groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("block_id").alias("n_blocks"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sizes, p4_found, p4_split, p4_balance)}
+DIMS = 96
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "sf1_sample").select("vec_id", "vector").unionAll(table(spark, d, "track_embedding").select("vec_id", "vector"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbors.nearest(_vectors(spark, d), "vec_id", "vector", dims=DIMS)
+    return neighbors.neighbour_pairs(near).select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
+
+
+def tokenizer(name: str) -> str:
+    """The path of a public vocabulary file; LINKLOOM_TOKENIZERS names another folder."""
+    return os.path.join(os.environ.get("LINKLOOM_TOKENIZERS", "/opt/tokenizers"), name)
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode_corpus(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", tokenizer("byte_bpe_50k.tiktoken"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_sizes, p4_found, p4_split, p4_balance, p6_found, p7_ids)}
