@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.ids import id_form
-from linkloom.llm import bpe, components, neighbors, splits
+from linkloom.llm import bpe, components, leakage, neighbors, splits
 from linkloom.llm.queries_sql import SQL  # noqa: F401
 from linkloom.sources.tables import table
 
@@ -67,4 +67,14 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", tokenizer("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sizes, p4_found, p4_split, p4_balance, p6_found, p7_ids)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "text")
+    return leakage.find_leaks(docs, "doc_id", items, "item_id")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold each leaked item."""
+    return p8_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_sizes, p4_found, p4_split, p4_balance, p6_found, p7_ids, p8_found, p8_report)}
