@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.ids import id_form
-from linkloom.llm import bpe, components, leakage, neighbors, splits
+from linkloom.llm import bpe, components, leakage, neighbors, residue, splits
 from linkloom.llm.queries_sql import SQL  # noqa: F401
 from linkloom.sources.tables import table
 
@@ -77,4 +77,15 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return p8_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sizes, p4_found, p4_split, p4_balance, p6_found, p7_ids, p8_found, p8_report)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of the corpus by kind of document, with the cases excluded; empty texts stay."""
+    docs = table(spark, d, "documents").select("doc_id", "doc_kind", "n_chars")
+    kept = docs.join(p9_found(spark, d), "doc_id", "left_anti")
+    return kept.groupBy("doc_kind").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_chars").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_sizes, p4_found, p4_split, p4_balance, p6_found, p7_ids, p8_found, p8_report, p9_found, p9_clean)}
