@@ -62,15 +62,17 @@ def find_orphans(references: DataFrame, parents: DataFrame, *, n_parents: int, m
 
     references: ``field, record_id, ref_id, seq, at, period``; ``parents``: ``field, k, seq, since, until``. A parent
     with a seq is found by a reference with a larger seq; one with a period by a reference whose ``at`` lies in it. A
-    null ``ref_id`` names nothing and is no reference; a null ``at`` finds nothing. Result: the reference rows.
+    null ``ref_id`` names nothing and is no reference; a null ``at`` or ``seq`` finds nothing. Parents without a key are
+    left out. Result: the reference rows with these six columns; repeated ones stay repeated, further columns are dropped.
     """
-    refs = references.filter("ref_id is not null")
+    cols = ["field", "record_id", "ref_id", "seq", "at", "period"]
+    refs = references.select(*cols).filter("ref_id is not null")
+    parents = parents.filter("k is not null")
     words = words_for(n_parents, max_words)
     bloom = bloom_words(parents, ["field", "k"], words)
     key = (F.col("field"), F.col("ref_id"))
     probed = refs.withColumn("w", _word(words, *key)).join(F.broadcast(bloom), F.col("w") == F.col("word"), "left")
     hit = F.coalesce(F.col("bits"), F.lit(0).cast("long")).bitwiseAND(_mask(*key)) == _mask(*key)
-    cols = references.columns
     absent = probed.filter(~hit).select(*cols)
     maybe = probed.filter(hit).select(*cols)
     p = parents.select(*[F.col(c).alias(f"p_{c}") for c in ("field", "k", "seq", "since", "until")])
