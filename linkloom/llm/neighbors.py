@@ -180,7 +180,7 @@ def unit_codes(table: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
     return rows.mapInArrow(convert, "id long, code binary")
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, *, dims: int, k: int = 5, part_rows: int = 1000, probes: int = 3, sample_rows: int = 24_000, max_parts: int = 1200) -> DataFrame:
+def nearest(vectors: DataFrame, key: str, vector: str, *, dims: int, k: int = 5, part_rows: int = 1000, probes: int = 3, sample_rows: int = 16_000, max_parts: int = 600) -> DataFrame:
     """The k most similar others of every usable vector: ``id, other, cosine``, ties by the smaller id.
 
     Usable is a vector of ``dims`` finite numbers, not all zero. Repeated rows count once. Fewer than k others give fewer
