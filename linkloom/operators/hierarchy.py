@@ -11,12 +11,16 @@ the number of nodes whatever the depth. A loop never loses a node by raking; spl
 its own parent, which exposes it, and the smallest id of the spliced nodes travels along. Going back through the
 records in reverse order gives root and depth of every removed node from its anchor, which is always removed later.
 
+The last rounds would cost more in scheduling than in work: once at most ``tail`` nodes are left, one task walks up from
+each of them.
+
 Every round is one written table, so nothing is recomputed after a lost executor. Joins have a unique key on one side;
 a parent named by a third of all rows is split by adaptive skew handling and pre-counted before its shuffle.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -31,11 +35,15 @@ def first_rows(df: DataFrame, id_col: str, order_col: str, keep: list[str]) -> D
     return best.select(F.col("_id").alias(id_col), F.col("_v._o").alias(order_col), *[F.col(f"_v.{c}").alias(c) for c in keep])
 
 
+#: Nodes that one task may resolve; the contraction goes on until so few are left.
+TAIL = 2000
+
+
 def _rank(column, salt: int):
     return F.xxhash64(column, F.lit(salt))
 
 
-def expand_hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent", *, with_path: bool = False) -> DataFrame:
+def expand_hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent", *, with_path: bool = False, tail: int = TAIL) -> DataFrame:
     """Root, depth and, if asked for, path of every node.
 
     Input: one row per node, ids not null and unique (see :func:`first_rows`); a parent that is null or no node's id
@@ -62,7 +70,8 @@ def expand_hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "pa
         rounds.append(table)
         if len(rounds) == 1:
             scratch.drop(plain)
-        if not watch.get.get("kept"):
+        left = watch.get.get("kept") or 0
+        if not left:
             break
         kept = table.filter("step = 'keep'").drop("step")
         gone = table.filter("step = 'splice'").select(*[F.col(c).alias(f"s_{c}") for c in kept.columns])
@@ -74,10 +83,15 @@ def expand_hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "pa
             F.when(F.col("s_id").isNull(), F.col("low")).otherwise(low).alias("low"),
             *([F.when(F.col("s_id").isNull(), F.col("via")).otherwise(F.concat("s_via", F.array("s_id"), "via")).alias("via")] if with_path else []),
         )
+        if left <= tail:
+            break
 
     # An anchor is kept longer than what hangs on it: spliced nodes hang on nodes of later rounds, raked ones also on
     # nodes spliced in their own round.
     done: list[DataFrame] = []
+    if left:
+        schema = f"id string, root string, depth int{', path array<string>' if with_path else ''}"
+        done.append(scratch.save(active.repartition(1).mapInPandas(lambda parts: [_walk(pd.concat(list(parts)), with_path)], schema)))
     for table in reversed(rounds):
         loop = F.col("parent").isNotNull()
         ends = table.filter("step = 'end'").select(
@@ -96,6 +110,33 @@ def expand_hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "pa
     raise AssertionError("there is always a first round")
 
 
+def _walk(nodes: pd.DataFrame, with_path: bool) -> pd.DataFrame:
+    """Root, depth and path of a bounded number of contracted nodes, each found once."""
+    row = {r.id: r for r in nodes.itertuples()}
+    known: dict = {}
+    for start in row:
+        trail: dict = {}  # in walking order
+        at = start
+        while at not in known and at not in trail:
+            if row[at].parent is None:
+                known[at] = (at, 0, [at])
+            else:
+                trail[at] = True
+                at = row[at].parent
+        trail = list(trail)
+        if at not in known:  # the trail has run into itself
+            loop = trail[trail.index(at) :]
+            low = min(row[x].low or x for x in loop)
+            known.update({x: (low, -1, None) for x in loop})
+            trail = trail[: trail.index(at)]
+        for x in reversed(trail):
+            root, depth, path = known[row[x].parent]
+            steps = [*path, *row[x].via, x] if with_path and path is not None else path
+            known[x] = (root, -1 if depth < 0 else depth + row[x].w, steps)
+    out = pd.DataFrame({"id": list(known), "root": [v[0] for v in known.values()], "depth": [v[1] for v in known.values()]})
+    return out.assign(path=[v[2] for v in known.values()]) if with_path else out
+
+
 def _resolve(records: DataFrame, known: DataFrame, with_path: bool) -> DataFrame:
     up = known.select(F.col("id").alias("u_id"), F.col("root"), F.col("depth").alias("u_depth"), *([F.col("path").alias("u_path")] if with_path else []))
     hit = records.select("id", "parent", "w", *(["via"] if with_path else [])).join(up, F.col("parent") == F.col("u_id"))

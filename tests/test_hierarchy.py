@@ -24,8 +24,9 @@ def run(spark, parents, **kw):
 
 
 def check(spark, parents):
-    got = {r["id"]: (r["root"], r["depth"], "/".join(r["path"]) if r["path"] else None) for r in run(spark, parents).collect()}
-    assert got == brute(parents)
+    for tail in (0, 40, hierarchy.TAIL):
+        got = {r["id"]: (r["root"], r["depth"], "/".join(r["path"]) if r["path"] else None) for r in run(spark, parents, tail=tail).collect()}
+        assert got == brute(parents)
 
 
 def test_random_forest_with_loops_and_long_chains(spark):
