@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -100,39 +101,43 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
         self.points = [_points(stream(t or "")) for _, t in items]
-        counts: dict[int, dict[int, int]] = defaultdict(dict)
-        lengths = []
-        for d, p in enumerate(self.points):
-            _, h = grams(p, LATIN_GRAM, HAN_GRAM)
-            lengths.append(len(h))
-            for term, tf in zip(*np.unique(h, return_counts=True), strict=True):
-                counts[int(term)][d] = int(tf)
-        n, mean = len(items), max(1.0, float(np.mean(lengths)) if lengths else 1.0)
-        self.terms = np.array(sorted(counts), np.uint64)
-        self.docs, self.impacts, self.blocks = [], [], []
-        self.bound = np.zeros(len(self.terms), np.float32)
-        weights = []
-        for k, term in enumerate(self.terms):
-            posting = counts[int(term)]
-            docs = np.array(sorted(posting))
-            tf = np.array([posting[d] for d in docs], float)
-            idf = np.log(1 + (n - len(docs) + 0.5) / (len(docs) + 0.5))
-            size = np.array([lengths[d] for d in docs]) / mean
-            impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size))
-            self.docs.append(docs)
-            self.impacts.append(impact)
-            blocks: dict[int, float] = {}
-            for d, x in zip(docs // BLOCK, impact, strict=True):
-                blocks[int(d)] = max(blocks.get(int(d), 0.0), float(x))
-            self.blocks.append(blocks)
-            self.bound[k] = impact.max()
-            weights.append(idf)
-        self.threshold = LEAST_TERMS * float(np.mean(weights)) if weights else 1.0
+        per = [np.unique(grams(p, LATIN_GRAM, HAN_GRAM)[1], return_counts=True) for p in self.points]
+        lengths = np.array([c.sum() for _, c in per], float)
+        term = np.concatenate([h for h, _ in per]) if per else np.empty(0, np.uint64)
+        tf = np.concatenate([c for _, c in per]) if per else np.empty(0, int)
+        doc = np.repeat(np.arange(len(per)), np.array([len(h) for h, _ in per], int))
+        order = np.lexsort((doc, term))
+        term, tf, doc = term[order], tf[order].astype(float), doc[order]
+        #: Postings of term k: documents and impacts from starts[k] to starts[k + 1].
+        self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
+        self.starts, self.docs = np.append(first, len(term)), doc
+        n = len(items)
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        size = lengths[doc] / max(1.0, lengths.mean() if n else 1.0)
+        self.impacts = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size))
+        self.bound = np.maximum.reduceat(self.impacts, first) if len(first) else np.empty(0)
+        #: The largest impact within each block of items, repeated for every posting of the block.
+        block = doc // BLOCK
+        edge = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else np.empty(0, int)
+        best = np.maximum.reduceat(self.impacts, edge) if len(edge) else np.empty(0)
+        self.block_best = np.repeat(best, np.diff(np.append(edge, len(term))))
+        self.threshold = LEAST_TERMS * float(idf.mean()) if len(idf) else 1.0
         self._fine: dict[int, dict[int, list[int]]] = {}
+        self._postings: dict[int, tuple] = {}
+
+    def postings(self, term: int) -> tuple[list[int], list[float], dict[int, float], float]:
+        """Documents, impacts, block maxima and largest impact of a term; short lists, faster as such than as arrays."""
+        found = self._postings.get(term)
+        if found is None:
+            a, b = self.starts[term], self.starts[term + 1]
+            docs = self.docs[a:b]
+            blocks = dict(zip((docs // BLOCK).tolist(), self.block_best[a:b].tolist(), strict=True))
+            found = self._postings[term] = (docs.tolist(), self.impacts[a:b].tolist(), blocks, float(self.bound[term]))
+        return found
 
     def search(self, terms: np.ndarray) -> list[int]:
         """Numbers of all items whose BM25 score for the terms reaches the threshold, by block-max WAND."""
-        lists = [(self.docs[t], self.impacts[t], self.blocks[t], float(self.bound[t])) for t in terms]
+        lists = [self.postings(t) for t in terms.tolist()]
         at = [0] * len(lists)
         out = []
         live = list(range(len(lists)))
@@ -146,7 +151,7 @@ class Index:
                     break
             if pivot < 0:
                 break
-            doc = int(lists[live[pivot]][0][at[live[pivot]]])
+            doc = lists[live[pivot]][0][at[live[pivot]]]
             while pivot + 1 < len(live) and lists[live[pivot + 1]][0][at[live[pivot + 1]]] == doc:
                 pivot += 1
             head = live[: pivot + 1]
@@ -154,7 +159,7 @@ class Index:
                 score = 0.0
                 for i in head:
                     docs = lists[i][0]
-                    at[i] += int(np.searchsorted(docs[at[i] :], doc))
+                    at[i] = bisect_left(docs, doc, at[i])
                     if at[i] < len(docs) and docs[at[i]] == doc:
                         score += lists[i][1][at[i]]
                 if score >= self.threshold:
@@ -164,10 +169,10 @@ class Index:
                 # No item of this block can make it with these lists; further lists come in at their next item only.
                 goal = (doc // BLOCK + 1) * BLOCK
                 if pivot + 1 < len(live):
-                    goal = min(goal, int(lists[live[pivot + 1]][0][at[live[pivot + 1]]]))
+                    goal = min(goal, lists[live[pivot + 1]][0][at[live[pivot + 1]]])
                 goal = max(goal, doc + 1)
             for i in head:
-                at[i] += int(np.searchsorted(lists[i][0][at[i] :], goal))
+                at[i] = bisect_left(lists[i][0], goal, at[i])
             live = [i for i in live if at[i] < len(lists[i][0])]
         return out
 
@@ -184,12 +189,13 @@ def shared_extent(points: np.ndarray, index: Index, item: int) -> float:
     """The share of the item that stands in the text in one stretch and in order."""
     places, own = index.fine(item), index.points[item]
     at, h = grams(points, FINE_LATIN, FINE_HAN)
+    width_at = np.where(_is_han(own), FINE_HAN, FINE_LATIN).tolist()
     # Runs of matches on one diagonal: start in text and item, and length.
     runs: list[list[int]] = []
     last: dict[int, int] = {}
     for p, g in zip(at.tolist(), h.tolist(), strict=True):
         for q in places.get(g, ()):
-            width = FINE_HAN if _is_han(own[q : q + 1])[0] else FINE_LATIN
+            width = width_at[q]
             k = last.get(p - q)
             if k is not None and runs[k][0] + runs[k][2] >= p:
                 runs[k][2] = p + width - runs[k][0]
