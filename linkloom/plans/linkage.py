@@ -144,7 +144,7 @@ def multiview_similarity(spark, d):
     out = best.join(row, "g").join(col, "g").join(second, "g", "left")
     chamfer = (F.col("r") + F.col("c")) / 2
     top2 = F.when(F.col("s2").isNull(), -F.col("b.n")).otherwise((F.col("s2") - F.col("b.n")) / 2)
-    return out.select(F.col("g").alias("entity"), (-F.col("b.n")).alias("max_pair"), F.round(chamfer, 5).alias("chamfer"), F.round((chamfer + top2) / 2, 5).alias("symmetric_top2"))
+    return out.select(F.col("g").alias("entity"), (-F.col("b.n")).alias("max_pair"), F.round(chamfer + 1e-9, 5).alias("chamfer"), F.round((chamfer + top2) / 2 + 1e-9, 5).alias("symmetric_top2"))
 
 
 @query
@@ -233,7 +233,7 @@ def mcnemar_paired(spark, d):
     """Exact test of two yes-or-no readings of the same documents, by kind."""
     docs = table(spark, d, "documents").select("doc_kind", (F.col("n_chars") > 600).alias("x"), (F.col("doc_id") % 3 == 0).alias("y"))
     c = docs.groupBy("doc_kind").agg(F.count_if(F.col("x") & ~F.col("y")).alias("only_x"), F.count_if(~F.col("x") & F.col("y")).alias("only_y"))
-    return c.select("doc_kind", "only_x", "only_y", F.round(K.mcnemar_p(F.col("only_x"), F.col("only_y")), 6).alias("p"))
+    return c.select("doc_kind", "only_x", "only_y", F.round(K.mcnemar_p(F.col("only_x"), F.col("only_y")) + 1e-9, 6).alias("p"))
 
 
 @query

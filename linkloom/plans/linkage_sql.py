@@ -64,7 +64,7 @@ r AS (SELECT g, avg(m) AS r FROM (SELECT g, i, max(s) AS m FROM s GROUP BY g, i)
 c AS (SELECT g, avg(m) AS c FROM (SELECT g, j, max(s) AS m FROM s GROUP BY g, j) GROUP BY g),
 best AS (SELECT g, i, j, s FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s DESC, i, j) AS rn FROM s) WHERE rn = 1),
 second AS (SELECT s.g, max(s.s) AS s2 FROM s JOIN best b ON s.g = b.g AND s.i <> b.i AND s.j <> b.j GROUP BY s.g)
-SELECT b.g AS entity, b.s AS max_pair, round((r.r + c.c) / 2, 5) AS chamfer, round(((r.r + c.c) / 2 + CASE WHEN s2 IS NULL THEN b.s ELSE (b.s + s2) / 2 END) / 2, 5) AS symmetric_top2
+SELECT b.g AS entity, b.s AS max_pair, round((r.r + c.c) / 2 + 1e-9, 5) AS chamfer, round(((r.r + c.c) / 2 + CASE WHEN s2 IS NULL THEN b.s ELSE (b.s + s2) / 2 END) / 2 + 1e-9, 5) AS symmetric_top2
 FROM best b JOIN r ON b.g = r.g JOIN c ON b.g = c.g LEFT JOIN second t ON b.g = t.g""",
     "weighted_mean_vector": """
 SELECT entity, CAST(pos - 1 AS INTEGER) AS pos, round(sum(w * x) / sum(w), 5) + 0.0 AS mean FROM (
@@ -98,7 +98,7 @@ WITH c AS (
 ),
 t AS (SELECT *, unnest(range(0, least(only_x, only_y) + 1)) AS i FROM c WHERE only_x + only_y > 0),
 s AS (SELECT doc_kind, least(1.0, 2 * sum(exp(lgamma(only_x + only_y + 1.0) - lgamma(i + 1.0) - lgamma(only_x + only_y - i + 1.0) - (only_x + only_y) * ln(2.0)))) AS p FROM t GROUP BY 1)
-SELECT c.doc_kind, only_x, only_y, round(p, 6) AS p FROM c LEFT JOIN s ON c.doc_kind IS NOT DISTINCT FROM s.doc_kind""",
+SELECT c.doc_kind, only_x, only_y, round(p + 1e-9, 6) AS p FROM c LEFT JOIN s ON c.doc_kind IS NOT DISTINCT FROM s.doc_kind""",
     "nearest_rank_quantiles": """
 WITH l AS (SELECT o_orderpriority, list_sort(list(o_totalprice)) AS v FROM orders GROUP BY 1)
 SELECT o_orderpriority, v[least(len(v) - 1, CAST(floor(len(v) * 0.5) AS BIGINT)) + 1] AS p50, v[least(len(v) - 1, CAST(floor(len(v) * 0.9) AS BIGINT)) + 1] AS p90, v[least(len(v) - 1, CAST(floor(len(v) * 0.99) AS BIGINT)) + 1] AS p99 FROM l""",
