@@ -456,3 +456,69 @@ def threshold_sweep(spark, d):
     grid = F.explode(F.array(*[F.lit(x / 10) for x in range(5, 10)]))
     g = s.withColumn("threshold", grid).groupBy("threshold").agg(F.count_if(F.round("s", 6) >= F.col("threshold")).alias("n_pairs"), F.count_if((F.round("s", 6) >= F.col("threshold")) & F.col("y")).alias("n_hits"))
     return g.withColumn("precision", F.round(F.col("n_hits") / F.col("n_pairs"), 6))
+
+
+@query
+def required_sample_size(spark, d):
+    """The smallest number of trials whose Wilson interval is no wider than 0.05 to either side, by language."""
+    g = table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("n_chars") > 500).alias("hits"))
+    n = g.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(600))))
+    p, x, z = F.col("hits") / F.col("total"), F.col("n").cast("double"), 1.96
+    half = z * F.sqrt(p * (1 - p) / x + z * z / (4 * x * x)) / (1 + z * z / x)
+    return n.groupBy("lang").agg(F.min(F.when(F.round(half, 9) <= 0.05, F.col("n"))).alias("n_needed"))
+
+
+@query
+def label_reconciliation(spark, d):
+    """Part names judged against two vocabularies: exact and unambiguous, ambiguous, or unmapped."""
+    p = table(spark, d, "part").select("p_partkey", K.label_form(F.col("p_name")).alias("name"), "p_type", "p_size")
+    exact = p.filter("p_size > 25").groupBy("name").agg(F.countDistinct("p_type").alias("n"), F.min("p_type").alias("target"))
+    j = p.join(exact, "name", "left")
+    status = F.when(F.col("n").isNull(), "unmapped").when(F.col("n") > 1, "conflict").otherwise("mapped")
+    return j.select("p_partkey", status.alias("status"), F.when(F.col("n") == 1, F.col("target")).alias("target"), F.when(F.col("n") == 1, 1.0).otherwise(0.0).alias("confidence"))
+
+
+@query
+def first_known_value(spark, d):
+    """The first known of three ordered readings of a document's language, and which one it was."""
+    known = {"lang": F.lower(F.substring("lang", 1, 2)), "kind": F.when(F.col("doc_kind") == "journal", "en"), "length": F.when(F.col("n_chars") < 300, "zh")}
+    source = F.coalesce(*[F.when(c.isNotNull(), F.lit(name)) for name, c in known.items()])
+    return table(spark, d, "documents").select("doc_id", F.coalesce(*known.values()).alias("value"), source.alias("source"))
+
+
+@query
+def gate_report(spark, d):
+    """Metrics held against their bounds, one row a gate."""
+    li = table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_discount"), 6).alias("discount"), F.max("l_quantity").alias("quantity"), F.count_if(F.col("l_partkey").isNull()).alias("nulls"))
+    gates = F.array(*[
+        F.struct(F.lit(name).alias("gate"), F.col(col).cast("double").alias("value"), F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high"))
+        for name, col, low, high in (("rows", "n", 1, 1e15), ("mean_discount", "discount", 0.0, 0.04), ("quantity", "quantity", 1, 50), ("null_parts", "nulls", 0, 0))
+    ])
+    return li.select(F.inline(gates)).withColumn("passed", (F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high")))
+
+
+@query
+def payload_hashes(spark, d):
+    """Messages by type whose payload has the recorded hash, another one, or nothing to compare."""
+    log = table(spark, d, "message_log").select("message_type", "payload", "payload_hash")
+    same = F.sha2("payload", 256) == F.lower("payload_hash")
+    return log.groupBy("message_type").agg(F.count_if(same).alias("n_same"), F.count_if(~same).alias("n_other"), F.count_if(same.isNull()).alias("n_open"))
+
+
+@query
+def event_windows(spark, d):
+    """Counts and sums per day and type: the batch form of the windowed stream."""
+    from linkloom.streaming.folds import windowed_counts
+
+    w = windowed_counts(table(spark, d, "events"), "ts", "event_type", "value")
+    return w.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query
+def partition_check(spark, d):
+    """Parts that several suppliers' line sets share: how many belong to one set, to several, to none."""
+    p = table(spark, d, "part").select("p_partkey")
+    own = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_suppkey").alias("n"))
+    j = p.join(own, F.col("p_partkey") == F.col("l_partkey"), "full")
+    kind = F.when(F.col("l_partkey").isNull(), "none").when(F.col("p_partkey").isNull(), "unknown").when(F.col("n") == 1, "one").otherwise("several")
+    return j.groupBy(kind.alias("membership")).agg(F.count(F.lit(1)).alias("n_parts"))

@@ -176,4 +176,29 @@ g AS (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS threshold)
 SELECT threshold, count(*) FILTER (WHERE round(aspect, 6) >= threshold) AS n_pairs, count(*) FILTER (WHERE round(aspect, 6) >= threshold AND wa = wb) AS n_hits,
        round(count(*) FILTER (WHERE round(aspect, 6) >= threshold AND wa = wb)::DOUBLE / count(*) FILTER (WHERE round(aspect, 6) >= threshold), 6) AS precision
 FROM scored, g GROUP BY 1""",
+    "required_sample_size": """
+WITH g AS (SELECT lang, count(*) AS total, count(*) FILTER (WHERE n_chars > 500) AS hits FROM documents GROUP BY 1),
+n AS (SELECT lang, hits::DOUBLE / total AS p, unnest(range(1, 601))::DOUBLE AS x FROM g)
+SELECT lang, CAST(min(CASE WHEN round(1.96 * sqrt(p * (1 - p) / x + 1.96 * 1.96 / (4 * x * x)) / (1 + 1.96 * 1.96 / x), 9) <= 0.05 THEN x END) AS INTEGER) AS n_needed FROM n GROUP BY 1""",
+    "label_reconciliation": """
+WITH p AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS name, p_type, p_size FROM part),
+e AS (SELECT name, count(DISTINCT p_type) AS n, min(p_type) AS target FROM p WHERE p_size > 25 GROUP BY 1)
+SELECT p_partkey, CASE WHEN n IS NULL THEN 'unmapped' WHEN n > 1 THEN 'conflict' ELSE 'mapped' END AS status, CASE WHEN n = 1 THEN target END AS target, CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM p LEFT JOIN e ON p.name = e.name""",
+    "first_known_value": """
+SELECT doc_id, coalesce(lower(substr(lang, 1, 2)), CASE WHEN doc_kind = 'journal' THEN 'en' END, CASE WHEN n_chars < 300 THEN 'zh' END) AS value,
+       CASE WHEN lang IS NOT NULL THEN 'lang' WHEN doc_kind = 'journal' THEN 'kind' WHEN n_chars < 300 THEN 'length' END AS source FROM documents""",
+    "gate_report": """
+WITH m AS (SELECT count(*)::DOUBLE AS n, round(avg(l_discount), 6) AS discount, max(l_quantity) AS quantity, count(*) FILTER (WHERE l_partkey IS NULL)::DOUBLE AS nulls FROM lineitem),
+g AS (
+  SELECT 'rows' AS gate, n AS value, 1.0::DOUBLE AS low, 1e15::DOUBLE AS high FROM m UNION ALL SELECT 'mean_discount', discount, 0.0, 0.04 FROM m
+  UNION ALL SELECT 'quantity', quantity, 1.0, 50.0 FROM m UNION ALL SELECT 'null_parts', nulls, 0.0, 0.0 FROM m
+)
+SELECT *, value >= low AND value <= high AS passed FROM g""",
+    "payload_hashes": """
+WITH x AS (SELECT message_type, sha256(payload) = lower(payload_hash) AS same FROM message_log)
+SELECT message_type, count(*) FILTER (WHERE same) AS n_same, count(*) FILTER (WHERE NOT same) AS n_other, count(*) FILTER (WHERE same IS NULL) AS n_open FROM x GROUP BY 1""",
+    "event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
+    "partition_check": """
+WITH o AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1)
+SELECT CASE WHEN l_partkey IS NULL THEN 'none' WHEN p_partkey IS NULL THEN 'unknown' WHEN n = 1 THEN 'one' ELSE 'several' END AS membership, count(*) AS n_parts FROM part FULL JOIN o ON p_partkey = l_partkey GROUP BY 1""",
 }
