@@ -7,12 +7,16 @@ executor can read them again after a loss, and a superseded round is deleted as
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
+_shipped: set[str] = set()
 
 
 def local_session(cores: int = 8, **conf: str) -> SparkSession:
@@ -32,6 +36,24 @@ def local_session(cores: int = 8, **conf: str) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand the package to the executors' Python workers, once an application; they may lack the driver's import path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="linkloom-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(os.path.join(folder, "linkloom.zip"), "w") as packed:
+        for base, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(base, name)
+                    packed.write(path, os.path.relpath(path, os.path.dirname(here)))
+    sc.addPyFile(os.path.join(folder, "linkloom.zip"))
+    _shipped.add(sc.applicationId)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset and the master is local."""
     global _local_root
@@ -43,7 +65,7 @@ def shared_root(spark: SparkSession) -> str:
     if _local_root is None:
         _local_root = "file://" + tempfile.mkdtemp(prefix="linkloom-")
         # Without this every test run would leave its tables behind.
-        atexit.register(__import__("shutil").rmtree, _local_root[len("file://") :], ignore_errors=True)
+        atexit.register(shutil.rmtree, _local_root[len("file://") :], ignore_errors=True)
     return _local_root
 
 
