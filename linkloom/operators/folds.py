@@ -168,7 +168,13 @@ def in_buckets(df: DataFrame, group: list[str]) -> DataFrame:
     """The rows with a ``_bucket`` that holds whole groups: one Python call serves many small groups, and the number of
     buckets follows the number of shuffle partitions."""
     n = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.withColumn("_bucket", F.pmod(F.xxhash64(*group), F.lit(n)))
+    return apart(df.withColumn("_bucket", F.pmod(F.xxhash64(*group), F.lit(n))), ["_bucket"])
+
+
+def apart(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows by key over a set number of tasks: a fold costs more than its bytes tell, so they shouldn't be merged."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
 
 
 def suppress_boxes(boxes: DataFrame, group: list[str], threshold: float) -> DataFrame:
@@ -225,15 +231,17 @@ def track_boxes(boxes: DataFrame, group: list[str], *, threshold: float = 0.3, m
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["frame", "id"])
         tracker, tracks, last = Tracker(threshold, max_missed), [], None
-        for frame, part in pdf.groupby("frame", sort=True):
-            for _ in range(min(int(frame - last - 1), max_missed + 1) if last is not None else 0):
+        frames, coords = pdf["frame"].to_numpy(), pdf[BOX].to_numpy(float).tolist()
+        starts = np.flatnonzero(np.append(True, frames[1:] != frames[:-1])).tolist()
+        for lo, hi in zip(starts, [*starts[1:], len(frames)], strict=True):
+            for _ in range(min(int(frames[lo] - last - 1), max_missed + 1) if last is not None else 0):
                 tracker.step([])
-            tracks += tracker.step(part[BOX].to_numpy(float).tolist())
-            last = frame
+            tracks += tracker.step(coords[lo:hi])
+            last = frames[lo]
         pdf = pdf.assign(track=np.array(tracks, np.int64))
         return pdf[pdf.groupby("track")["track"].transform("size") >= min_length]
 
     from pyspark.sql import types as T
 
     schema = T.StructType([*boxes.schema.fields, T.StructField("track", T.LongType())])
-    return boxes.groupBy(*group).applyInPandas(run, schema)
+    return apart(boxes, group).groupBy(*group).applyInPandas(run, schema)
