@@ -48,7 +48,12 @@ SLOTS = re.compile(
 )
 #: A missing value as a program prints it, where it stands for a word: not in a sentence that uses the word itself.
 MISSING = re.compile(r"(?<![\w.])(?:undefined|NaN|nan|NULL|null|nil|None|N/A|<null>|<none>|\(null\)|\(none\))(?![\w.])")
-_USES = re.compile(r"\b(?:nothing|anything|something|is|was|were|be|been|left|stays|remains|are) undefined\b(?! (?:by|to|and) )|^\W*None\b|[.!?,;:*\"“] *None (?:but|of)\b|\bnone\b", re.I)
+#: What stands before and after a match that is the word itself, in a sentence that uses it.
+_NOTHING = re.compile(r"\b(?:nothing|anything|something|everything)(?:\s+(?:is|was|were|be|been|being|has|had|left|stays|stayed|remains|remained)){0,3}\s+$", re.I)
+_LEFT = re.compile(r"\b(?:left|stays|stayed|remains|remained)\s+$", re.I)
+_NO_NOUN = re.compile(r"\W*$|\s*[.,;:!?)]|\s+(?:in|on|at|for|until|till|when|while|because|as|so|here|there)\b", re.I)
+_SUBJECT = re.compile(r"\s+[^\W\d_]|[.,!?]")
+_OPENS = re.compile(r"[.!?,;:*\"“]\W*$")
 MESSAGES = re.compile(
     r"\b(?:enable|allow|activate|turn on) (?:javascript|js|scripts|scripting)\b|\bneeds? scripts to run\b|\bscripts are (?:switched|turned) off\b|\bdoes(?:n't| not) support (?:scripting|javascript|scripts)\b|\bnecessary to enable\b|\brequires? javascript\b"
     r"|^\W*(?:http|status|error|fatal|错误码?)\W{0,3}\d{3,}|^\W*(?:fatal|error|failed to load|internal error|sorry)\b\W{0,3}|\btraceback \(most recent call last\)|\b(?:internal server error|bad gateway|gateway timeout|page not found|access denied|forbidden)\b"
@@ -98,11 +103,29 @@ def hints_in(text: str) -> tuple[str, ...]:
     return tuple(x for x in _HINTS if x in low)
 
 
+def _used(m: re.Match) -> bool:
+    """Whether a match of MISSING is the word itself at this place: the subject "None", "nothing was undefined"."""
+    text, at, end = m.string, m.start(), m.end()
+    if m.group() == "undefined":
+        return bool(_NOTHING.search(text, 0, at) or _LEFT.search(text, 0, at) and _NO_NOUN.match(text, end))
+    if m.group() != "None":
+        return False
+    if not re.search(r"\w", text[:at]):
+        return bool(_SUBJECT.match(text, end))
+    follows = text[end:].lstrip()[:4].lower()
+    return follows == "but " or follows.startswith("of ") and bool(_OPENS.search(text, 0, at))
+
+
+def prints_missing(passage: str) -> bool:
+    """Whether a missing value stands in the passage as a program prints it, whatever else the passage holds."""
+    return any(not _used(m) for m in MISSING.finditer(passage))
+
+
 def trusted(passage: str, hints: tuple[str, ...] = _HINTS) -> int:
     """The positive class a passage certainly belongs to, or NEGATIVE. hints: those that its whole text holds."""
     if _MARK.search(passage) and SLOTS.search(passage):
         return SLOT
-    if MISSING.search(passage) and not _USES.search(passage):
+    if prints_missing(passage):
         return SLOT
     low = passage.lower() if hints else ""
     if not any(x in low for x in hints):
@@ -117,8 +140,7 @@ def trusted(passage: str, hints: tuple[str, ...] = _HINTS) -> int:
 def tokens_of(passage: str) -> list[str]:
     """Words, Han characters and signs in order, marks for slots; numbers are all alike."""
     t = SLOTS.sub(" §slot ", passage) if _MARK.search(passage) else passage
-    if MISSING.search(t) and not _USES.search(t):
-        t = MISSING.sub(" §slot ", t)
+    t = MISSING.sub(lambda m: m.group() if _used(m) else " §slot ", t)
     return ["0" if x.isdigit() else x for x in _TOKEN.findall(t.lower())][:400]
 
 

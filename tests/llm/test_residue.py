@@ -44,3 +44,17 @@ def test_em_finds_what_no_rule_names(spark):
 def test_empty_table_and_no_trusted_passage(spark):
     assert R.find_residue(spark.createDataFrame([], "doc_id long, text string"), "doc_id").count() == 0
     assert R.find_residue(spark.createDataFrame([(1, "A plain note about the hall.")], "doc_id long, text string"), "doc_id").count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["The undefined step left undefined questions open and closed 51.", "undefined says the lamp is undefined, so it rides last.", "The room is None and the box is 4.", "Room: None", "(none) was packed by the helper.", "The <none> stands in the hall.", "None of the boxes holds undefined things."],
+)
+def test_missing_value_beside_a_use_of_the_word(text):
+    assert any(R.trusted(p) for p in R.passages(text))
+    assert any("§slot" in R.tokens_of(p) for p in R.passages(text))
+
+
+@pytest.mark.parametrize("text", ["None of the boxes was lost.", "Any losses? None.", "Of the boxes none is lost.", "It was left undefined until noon.", "We saw the clip, None but the author names a box."])
+def test_use_of_the_word_alone(text):
+    assert not any(R.trusted(p) or "§slot" in R.tokens_of(p) for p in R.passages(text))
