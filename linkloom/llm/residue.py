@@ -30,7 +30,7 @@ from linkloom.llm.spreading import spread
 #: Bound of each of the two samples the classifier is fitted on.
 SAMPLE_DOCS = 4000
 ROUNDS = 6
-#: A passage of fewer words or Han characters is judged by the trusted marks alone.
+#: A passage of fewer words or Han characters is scored only if it is trusted.
 LEAST_WORDS = 5
 #: Weight of the corpus-wide feature rates that smooth each class, as a share of the weight of its features.
 SMOOTHING = 0.02
@@ -158,8 +158,8 @@ class Model:
 
     def __init__(self, vocabulary: dict[str, int], weights: np.ndarray, prior: np.ndarray):
         self.vocabulary, self.weights, self.prior = vocabulary, weights, prior
-        # Features that speak for a message or filler, by how much at most: words, and pairs by their first word.
-        odds = weights[:, [MESSAGE, FILL]].max(1) - weights[:, NEGATIVE]
+        # Features that speak for a positive class, by how much at most: words, and pairs by their first word.
+        odds = weights[:, [SLOT, MESSAGE, FILL]].max(1) - weights[:, NEGATIVE]
         self.words: dict[str, float] = {}
         self.pairs: dict[str, dict[str, float]] = {}
         for x, i in vocabulary.items():
@@ -169,7 +169,7 @@ class Model:
                     self.pairs.setdefault(a, {})[b] = float(odds[i])
                 else:
                     self.words[x] = float(odds[i])
-        self.gap = float(prior[NEGATIVE] - prior[[MESSAGE, FILL]].max() - np.log(3) - 0.1)
+        self.gap = float(prior[NEGATIVE] - prior[[SLOT, MESSAGE, FILL]].max() - np.log(3) - 0.1)
 
     def hopeless(self, tokens: list[str]) -> bool:
         """Whether all that speaks for a positive class can't outweigh the prior; such a passage needs no scoring."""
@@ -236,14 +236,9 @@ def residue_flags(texts: list[str], model: Model, least: float = 0.5) -> list[bo
     """For each text whether one of its passages is more likely residue than not."""
     flags, sets, owner = [False] * len(texts), [], []
     for n, text in enumerate(texts):
-        found = passages(text)
-        # A trusted passage keeps its class, as in the fit.
         hints = hints_in(text)
-        if any(trusted(p, hints) for p in found):
-            flags[n] = True
-            continue
-        for p in found:
-            if len(_WORD.findall(p)) >= LEAST_WORDS:
+        for p in passages(text):
+            if len(_WORD.findall(p)) >= LEAST_WORDS or trusted(p, hints):
                 tokens = tokens_of(p)
                 if model.hopeless(tokens) and not _SIGNS.search(p):
                     continue

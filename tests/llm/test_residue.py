@@ -58,3 +58,14 @@ def test_missing_value_beside_a_use_of_the_word(text):
 @pytest.mark.parametrize("text", ["None of the boxes was lost.", "Any losses? None.", "Of the boxes none is lost.", "It was left undefined until noon.", "We saw the clip, None but the author names a box."])
 def test_use_of_the_word_alone(text):
     assert not any(R.trusted(p) or "§slot" in R.tokens_of(p) for p in R.passages(text))
+
+
+def fitted():
+    texts = [t for _, t, _ in corpus()]
+    return R.fit([p for t in CASES for p in R.passages(t)], [p for t in texts for p in R.passages(t)])
+
+
+def test_the_posterior_decides_trusted_passages():
+    model = fitted()
+    assert all(R.residue_flags(CASES, model)) and not any(R.residue_flags(NOTES, model))
+    assert not any(R.residue_flags(CASES, model, least=1.1))
