@@ -32,6 +32,8 @@ SAMPLE_DOCS = 4000
 ROUNDS = 6
 #: A passage of fewer words or Han characters is scored only if it is trusted.
 LEAST_WORDS = 5
+#: Passages of more tokens than LONG are scored in windows of about a sentence, each overlapping half of the one before.
+LONG, WINDOW = 400, 60
 #: Weight of the corpus-wide feature rates that smooth each class, as a share of the weight of its features.
 SMOOTHING = 0.02
 
@@ -83,6 +85,7 @@ _QUOTED = re.compile(r"`[^`\n]{1,120}`|“[^”\n]{1,120}”|\"[^\"\n{}]{1,80}\"
 _JSON = re.compile(r"\{\s*\"[^{}]*\}")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)|(?<=[。！？])(?=\S)|\n+|(?<=</h1>)|(?<=</noscript>)")
 _TOKEN = re.compile(r"§\w+|[a-zÀ-ɏ']+|\d+|[぀-鿿]|[^\s\w]")
+_PIECE = re.compile(r"§\w+|[^\W\d_぀-鿿]+|\d+|[぀-鿿]|[^\s\w]|_+")
 _SIGNS = re.compile(r"(?<![A-Za-z一-鿿])[{}\[\]<>%$#@|~^]{2,}(?=[A-Za-z一-鿿])|(?<=[A-Za-z一-鿿])[{}\[\]<>%$#@|~^]{2,}(?![A-Za-z一-鿿])")
 _MARK = re.compile(r"[{}\[\]<>%$@#_«»‹›【】｛｝＜＞〔〕]")
 _WORD = re.compile(r"[^\W\d_぀-鿿]+|[぀-鿿]")
@@ -92,10 +95,28 @@ NEGATIVE, SLOT, MESSAGE, FILL = range(4)
 
 
 def passages(text: str) -> list[str]:
-    """Sentences and lines of a text, with quotations, code and JSON objects replaced by marks."""
+    """Sentences and lines of a text, long ones in windows, with quotations, code and JSON objects replaced by marks."""
     text = _JSON.sub(" §json ", text.replace("\r", "\n"))
     text = _QUOTED.sub(" §quote ", text)
-    return [p for x in _SENTENCE.split(text) if (p := _LEAD.sub("", x).strip())]
+    return [w for x in _SENTENCE.split(text) if (p := _LEAD.sub("", x).strip()) for w in windows(p)]
+
+
+def windows(passage: str) -> list[str]:
+    """The passage, or overlapping parts of it if it is longer than LONG tokens. No slot and no word is cut."""
+    if len(passage) <= LONG:
+        return [passage]
+    spans, at = [], 0
+    for lo, hi in [*(m.span() for m in SLOTS.finditer(passage)), (len(passage), len(passage))]:
+        spans += [m.span() for m in _PIECE.finditer(passage, at, lo)]
+        if lo < hi:
+            spans.append((lo, hi))
+        at = hi
+    if len(spans) <= LONG:
+        return [passage]
+    step = WINDOW // 2
+    starts = range(0, len(spans) - step, step)
+    ends = [spans[min(k + WINDOW, len(spans)) - 1][1] for k in starts]
+    return [passage[0 if k == 0 else spans[k][0] : end] for k, end in zip(starts, ends, strict=True)]
 
 
 def hints_in(text: str) -> tuple[str, ...]:
@@ -141,7 +162,7 @@ def tokens_of(passage: str) -> list[str]:
     """Words, Han characters and signs in order, marks for slots; numbers are all alike."""
     t = SLOTS.sub(" §slot ", passage) if _MARK.search(passage) else passage
     t = MISSING.sub(lambda m: m.group() if _used(m) else " §slot ", t)
-    return ["0" if x.isdigit() else x for x in _TOKEN.findall(t.lower())][:400]
+    return ["0" if x.isdigit() else x for x in _TOKEN.findall(t.lower())]
 
 
 def features(passage: str, tokens: list[str] | None = None) -> set[str]:

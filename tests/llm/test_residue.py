@@ -69,3 +69,19 @@ def test_the_posterior_decides_trusted_passages():
     model = fitted()
     assert all(R.residue_flags(CASES, model)) and not any(R.residue_flags(NOTES, model))
     assert not any(R.residue_flags(CASES, model, least=1.1))
+
+
+@pytest.mark.parametrize("tail", ["lorem velian torquo k mirado quispe felian natus orbe " * 8, "the {{owner}} has a key", "系统繁忙，请在 20 秒后刷新重试"])
+@pytest.mark.parametrize("head", ["the helper carried box 7 from the hall to the attic and ", "箱子已经从客厅搬到了阁楼，"])
+def test_residue_beyond_400_tokens_of_one_passage(head, tail):
+    model = fitted()
+    long = head * 90
+    assert not any(R.residue_flags([long], model))
+    assert all(R.residue_flags([long + tail, long + tail + " " + long, tail + " " + long], model))
+
+
+def test_windows_cover_a_passage():
+    text = " ".join(f"w{k}" for k in range(1001)) + " {{a b}} end"
+    parts = R.windows(text)
+    assert max(len(R.tokens_of(p)) for p in parts) <= R.WINDOW < R.LONG and set(" ".join(parts).split()) == set(text.split())
+    assert any("{{a b}}" in p for p in parts) and R.windows("a b") == ["a b"]
