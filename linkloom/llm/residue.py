@@ -30,8 +30,6 @@ from linkloom.llm.spreading import spread
 #: Bound of each of the two samples the classifier is fitted on.
 SAMPLE_DOCS = 4000
 ROUNDS = 6
-#: A passage of fewer words or Han characters is scored only if it is trusted.
-LEAST_WORDS = 5
 #: Passages of more tokens than LONG are scored in windows of about a sentence, each overlapping half of the one before.
 LONG, WINDOW = 400, 60
 #: Weight of the corpus-wide feature rates that smooth each class, as a share of the weight of its features.
@@ -72,15 +70,6 @@ FILLER = re.compile(
     r"|占位文字|示例文字|此处填写|在此填写|待补充|待填写|内容待定|敬请期待|替换本段|(?:测试){3,}|^\W*待定\W*$|暂无内容",
     re.I,
 )
-#: Literal parts of the stock phrases, at least one in each: a passage without any needs no closer look.
-_HINTS = (
-    "enable", "allow", "activate", "turn on", "scripts", "scripting", "javascript", "http", "status", "error", "fatal", "failed", "sorry", "traceback", "gateway", "not found", "denied", "forbidden",
-    "unavailable", "requests", "timed out", "blocked", "expired", "sign in", "displayed", "maintenance", "could not be", "administrator", "try again", "reload", "retry", "moved or deleted", "permission",
-    "went wrong", "nowhere", "link you", "no answer", "can't find", "asked for", "upstream", "start page", "notified", "request id", "ipsum", "dolor", "your text", "replace this", "this is ", "coming soon",
-    "to be ", "todo", "fixme", "tbd", "tba", "tbc", "example ", "short note", "asdf", "qwer", "zxcv", "xxx",
-    "脚本", "浏览器", "启用", "出错了", "加载失败", "错误", "提示", "无法显示", "请求", "网关", "管理员", "请稍", "刷新", "系统繁忙", "维护", "登录", "会话", "页面", "权限", "删除", "开小差", "上游", "地址", "没有返回", "频繁",
-    "占位", "示例", "填写", "补充", "待定", "敬请", "替换", "测试", "暂无",
-)
 _QUOTED = re.compile(r"`[^`\n]{1,120}`|“[^”\n]{1,120}”|\"[^\"\n{}]{1,80}\"|「[^」\n]{1,80}」|『[^』\n]{1,80}』")
 _JSON = re.compile(r"\{\s*\"[^{}]*\}")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)|(?<=[。！？])(?=\S)|\n+|(?<=</h1>)|(?<=</noscript>)")
@@ -88,7 +77,6 @@ _TOKEN = re.compile(r"§\w+|[a-zÀ-ɏ']+|\d+|[぀-鿿]|[^\s\w]")
 _PIECE = re.compile(r"§\w+|[^\W\d_぀-鿿]+|\d+|[぀-鿿]|[^\s\w]|_+")
 _SIGNS = re.compile(r"(?<![A-Za-z一-鿿])[{}\[\]<>%$#@|~^]{2,}(?=[A-Za-z一-鿿])|(?<=[A-Za-z一-鿿])[{}\[\]<>%$#@|~^]{2,}(?![A-Za-z一-鿿])")
 _MARK = re.compile(r"[{}\[\]<>%$@#_«»‹›【】｛｝＜＞〔〕]")
-_WORD = re.compile(r"[^\W\d_぀-鿿]+|[぀-鿿]")
 _LEAD = re.compile(r"^\s*(?:[-*•□>]+|\d+[.)]|#+ )\s*")
 
 NEGATIVE, SLOT, MESSAGE, FILL = range(4)
@@ -119,11 +107,6 @@ def windows(passage: str) -> list[str]:
     return [passage[0 if k == 0 else spans[k][0] : end] for k, end in zip(starts, ends, strict=True)]
 
 
-def hints_in(text: str) -> tuple[str, ...]:
-    low = text.lower()
-    return tuple(x for x in _HINTS if x in low)
-
-
 def _used(m: re.Match) -> bool:
     """Whether a match of MISSING is the word itself at this place: the subject "None", "nothing was undefined"."""
     text, at, end = m.string, m.start(), m.end()
@@ -142,15 +125,12 @@ def prints_missing(passage: str) -> bool:
     return any(not _used(m) for m in MISSING.finditer(passage))
 
 
-def trusted(passage: str, hints: tuple[str, ...] = _HINTS) -> int:
-    """The positive class a passage certainly belongs to, or NEGATIVE. hints: those that its whole text holds."""
+def trusted(passage: str) -> int:
+    """The positive class a passage certainly belongs to, or NEGATIVE."""
     if _MARK.search(passage) and SLOTS.search(passage):
         return SLOT
     if prints_missing(passage):
         return SLOT
-    low = passage.lower() if hints else ""
-    if not any(x in low for x in hints):
-        return NEGATIVE
     if MESSAGES.search(passage):
         return MESSAGE
     if FILLER.search(passage):
@@ -257,14 +237,12 @@ def residue_flags(texts: list[str], model: Model, least: float = 0.5) -> list[bo
     """For each text whether one of its passages is more likely residue than not."""
     flags, sets, owner = [False] * len(texts), [], []
     for n, text in enumerate(texts):
-        hints = hints_in(text)
         for p in passages(text):
-            if len(_WORD.findall(p)) >= LEAST_WORDS or trusted(p, hints):
-                tokens = tokens_of(p)
-                if model.hopeless(tokens) and not _SIGNS.search(p):
-                    continue
-                sets.append(features(p, tokens))
-                owner.append(n)
+            tokens = tokens_of(p)
+            if model.hopeless(tokens) and not _SIGNS.search(p):
+                continue
+            sets.append(features(p, tokens))
+            owner.append(n)
     if sets:
         for k in np.flatnonzero(1 - model.posterior(sets)[:, NEGATIVE] >= least):
             flags[owner[k]] = True

@@ -60,8 +60,8 @@ def test_use_of_the_word_alone(text):
     assert not any(R.trusted(p) or "§slot" in R.tokens_of(p) for p in R.passages(text))
 
 
-def fitted():
-    texts = [t for _, t, _ in corpus()]
+def fitted(*more):
+    texts = [t for _, t, _ in corpus()] + [*more]
     return R.fit([p for t in CASES for p in R.passages(t)], [p for t in texts for p in R.passages(t)])
 
 
@@ -85,3 +85,9 @@ def test_windows_cover_a_passage():
     parts = R.windows(text)
     assert max(len(R.tokens_of(p)) for p in parts) <= R.WINDOW < R.LONG and set(" ".join(parts).split()) == set(text.split())
     assert any("{{a b}}" in p for p in parts) and R.windows("a b") == ["a b"]
+
+
+def test_short_passages_and_phrases_without_a_hint():
+    assert R.trusted("You are not allowed to see this card.") == R.MESSAGE
+    model = fitted(*["The helper left.", "A box is here.", "It is late."] * 20)
+    assert R.residue_flags(["Velian torquo mirado.", "The helper left.\n\nNatus orbe.", "The helper left.", "A box."], model) == [True, True, False, False]
