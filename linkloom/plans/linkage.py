@@ -194,7 +194,7 @@ def tracked_boxes(spark, d):
 
 @query
 def retrieval_metrics(spark, d):
-    """Recall at 1 and 5 and mean reciprocal rank of vectors of clip 0 among those of clips 1 and 2, by label."""
+    """Recall at 1 and 5 and mean reciprocal rank, 0 beyond rank 20, of vectors of clip 0 among those of clips 1 and 2, by label."""
     near = pairs.blocked_topk(_features(spark, d).withColumn("side", (F.col("clip") == 0).cast("int")).withColumn("all", F.lit(0)), key="vec_id", side="side", category="all", vector="embedding", k=20)
     lab = _features(spark, d).select(F.col("vec_id"), "label")
     hits = near.filter("src_side = 1").join(lab.select(F.col("vec_id").alias("src"), F.col("label").alias("ls")), "src").join(lab.select(F.col("vec_id").alias("dst"), F.col("label").alias("ld")), "dst")
