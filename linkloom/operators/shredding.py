@@ -14,7 +14,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,8 +92,8 @@ def shred_json(texts: DataFrame, key: str, text: str, *, embedded: set[str] = fr
         [
             rows.schema["record_id"],
             T.StructField("text_id", T.LongType()),
-            T.StructField("node", T.IntegerType()),
-            T.StructField("parent", T.IntegerType()),
+            T.StructField("node", T.LongType()),
+            T.StructField("parent", T.LongType()),
             T.StructField("label", T.StringType()),
             T.StructField("ordinal", T.IntegerType()),
             T.StructField("kind", T.StringType()),
@@ -104,6 +104,44 @@ def shred_json(texts: DataFrame, key: str, text: str, *, embedded: set[str] = fr
     return rows.dropDuplicates(["record_id", "text_id"]).mapInPandas(shred, schema)
 
 
+#: Children of one list element are numbered within a range of so many, which no array can fill.
+_SPAN = 1 << 32
+
+
+def shred_evidence(groups: DataFrame, key: str) -> DataFrame:
+    """The adjacency table of typed group rows ``key, group_id, member_evidence``, as :func:`shred_json` has it for texts.
+
+    Nothing is parsed: every row becomes an array of its nodes by expressions of the engine. A null list, element or
+    field is a null node. Rows with equal content count once.
+    """
+    rows = groups.select(F.col(key).alias("record_id"), F.xxhash64("group_id", "member_evidence").alias("text_id"), "group_id", F.col("member_evidence").alias("evidence"))
+
+    def node(number: Column, parent: Column, label: str, ordinal: Column, kind: Column, value: Column | None = None) -> Column:
+        cells = {"node": number, "parent": parent, "label": F.lit(label), "ordinal": ordinal, "kind": kind, "value": F.lit(None) if value is None else value}
+        types = {"node": "long", "parent": "long", "label": "string", "ordinal": "int", "kind": "string", "value": "string"}
+        return F.struct(*[c.cast(types[name]).alias(name) for name, c in cells.items()])
+
+    def scalar(number: Column, parent: Column, label: str, ordinal: Column, value: Column) -> Column:
+        return node(number, parent, label, ordinal, F.when(value.isNull(), "null").otherwise("string"), value)
+
+    def element(e: Column, i: Column) -> Column:
+        base = (i.cast("long") + 1) * _SPAN
+        fields = ["schema_version", "entity_id", "source", "detail"]
+        own = [node(base, F.lit(2), "member_evidence", i, F.when(e.isNull(), "null").otherwise("object"))]
+        inner = [scalar(base + 1 + k, base, name, F.lit(k), e[name]) for k, name in enumerate(fields)]
+        inner.append(node(base + 5, base, "refs", F.lit(4), F.when(e["refs"].isNull(), "null").otherwise("array")))
+        refs = F.transform(F.coalesce(e["refs"], F.array()), lambda r, j: scalar(base + 6 + j, base + 5, "refs", j, r))
+        return F.concat(F.array(*own), F.when(e.isNotNull(), F.concat(F.array(*inner), refs)).otherwise(F.array()))
+
+    top = F.array(
+        node(F.lit(0), F.lit(-1), "", F.lit(0), F.lit("object")),
+        scalar(F.lit(1), F.lit(0), "group_id", F.lit(0), F.col("group_id")),
+        node(F.lit(2), F.lit(0), "member_evidence", F.lit(1), F.when(F.col("evidence").isNull(), "null").otherwise("array")),
+    )
+    nodes = F.concat(top, F.flatten(F.transform(F.coalesce("evidence", F.array()), element)))
+    return rows.dropDuplicates(["record_id", "text_id"]).select("record_id", "text_id", F.inline(nodes))
+
+
 KEY = ["record_id", "text_id"]
 
 
@@ -147,7 +185,8 @@ def evidence_rows(nodes: DataFrame) -> DataFrame:
     """Flat references: ``record_id, group_id, evidence_pos, entity_id, source, ref_pos, ref``.
 
     The shapes told apart: a list of elements, one bare element, a map from entity to element or list of elements;
-    references as a list, one bare value or objects with ``ref``. Null elements and references hold a position only.
+    references as a list, one bare value or objects with ``ref``. Null elements and references hold a position only; an
+    element in which no reference stands, be its list missing, empty or all nulls, has one row with ref_pos -1 and ref ''.
     """
     groups = pivot_scalars(nodes, ["group_id"]).filter("group_id is not null").withColumnRenamed("node", "parent")
     boxes = groups.join(_child(nodes.filter("label = 'member_evidence' and kind in ('object', 'array')"), "box"), [*KEY, "parent"])
@@ -176,10 +215,12 @@ def evidence_rows(nodes: DataFrame) -> DataFrame:
     cells = lists.drop("r_node", "r_label", "r_ordinal", "r_kind", "r_value").join(refs, [*KEY, "parent"], "left").withColumn("ref_pos", F.col("r_ordinal"))
     ones = top.filter("r_kind in ('string', 'number', 'boolean', 'object')").withColumn("ref_pos", F.lit(0))
     base = [*KEY, "group_id", "evidence_pos", "entity_id", "source"]
-    none = top.filter("r_node is null or r_kind = 'null'").select(*base).unionByName(cells.filter("r_node is null").select(*base))
-    none = none.select(*base, F.lit(-1).alias("ref_pos"), F.lit("").alias("ref"))
-    held = cells.filter("r_node is not null").select(*base, "ref_pos", "r_node", "r_kind", "r_value").unionByName(ones.select(*base, "ref_pos", "r_node", "r_kind", "r_value"))
+    held = cells.filter("r_node is not null").select(*base, "node", "ref_pos", "r_node", "r_kind", "r_value").unionByName(ones.select(*base, "node", "ref_pos", "r_node", "r_kind", "r_value"))
     inner = pivot_scalars(nodes, ["ref"]).withColumnRenamed("node", "r_node")
     held = held.join(inner, [*KEY, "r_node"], "left").withColumn("ref", F.when(F.col("r_kind") == "object", F.col("ref")).otherwise(F.col("r_value")))
-    rows = held.filter("ref is not null").select(*base, "ref_pos", "ref").unionByName(none)
+    rows = held.filter("ref is not null").select(*base, "ref_pos", "ref", F.col("node").alias("held_by"))
+    # Whatever the list holds, an element in which no reference stands has the row that says so.
+    some = rows.select(*KEY, F.col("held_by").alias("parent")).distinct()
+    none = named.join(some, [*KEY, "parent"], "left_anti").select(*base, F.lit(-1).alias("ref_pos"), F.lit("").alias("ref"))
+    rows = rows.drop("held_by").unionByName(none)
     return rows.select("record_id", "group_id", F.col("evidence_pos").cast("int"), "entity_id", "source", F.col("ref_pos").cast("int"), "ref").distinct()

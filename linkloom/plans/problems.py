@@ -93,10 +93,9 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _shredded(spark: SparkSession, d: str) -> DataFrame:
-    landed = table(spark, d, "raw_groups").select("record_id", F.col("raw").alias("text"))
-    groups = table(spark, d, "hero_groups").select("record_id", F.to_json(F.struct("group_id", "member_evidence"), {"ignoreNullFields": "false"}).alias("text"))
-    texts = landed.unionByName(groups)
-    return Scratch(spark, "shredding").save(shredding.shred_json(texts, "record_id", "text", embedded={"member_evidence"}))
+    landed = shredding.shred_json(table(spark, d, "raw_groups").select("record_id", "raw"), "record_id", "raw", embedded={"member_evidence"})
+    typed = shredding.shred_evidence(table(spark, d, "hero_groups").select("record_id", "group_id", "member_evidence"), "record_id")
+    return Scratch(spark, "shredding").save(landed.unionByName(typed))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_paths, p3_descendants, p5_found, p5_groups)}

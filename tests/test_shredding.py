@@ -16,10 +16,10 @@ def brute(record, text):
         refs = e.get("refs")
         refs = [] if refs is None else refs if isinstance(refs, list) else [refs]
         head = (record, gid, pos, ent or "", e.get("source") or "")
-        if not refs:
+        refs = [r.get("ref") if isinstance(r, dict) else r for r in refs]
+        if all(r is None for r in refs):
             out.add((*head, -1, ""))
         for j, r in enumerate(refs):
-            r = r.get("ref") if isinstance(r, dict) else r
             if r is not None:
                 out.add((*head, j, str(r)))
 
@@ -59,7 +59,7 @@ TEXTS = [
     '{"group_id": "g3", "member_evidence": {"entity_id": "e", "refs": ["q"]}}',
     '{"run": {"id": 1}, "group": {"group_id": "g4", "member_evidence": "[{\\"entity_id\\": \\"e\\", \\"refs\\": [\\"k\\"]}]", "sub_groups": [{"group_id": "g4.0", "member_evidence": [{"refs": ["m"]}]}]}}',
     '[{"group_id": "g5", "member_evidence": []}, {"group_id": "g6", "member_evidence": "no json"}, {"group_id": "g7"}]',
-    '{"group_id": "g8", "member_evidence": [{"entity_id": "e", "refs": [null]}]}',
+    '{"group_id": "g8", "member_evidence": [{"entity_id": "e", "refs": [null]}, {"refs": [{"frame": 1}, null]}, {"refs": [null, "r"]}, {"refs": {"frame": 2}}]}',
     "{broken", "", None, "null", "17", '"text"', "NaN", '{"group_id": "bad", "member_evidence": [{"refs": [NaN]}]}', "[" * 60_000,
 ]
 
@@ -79,9 +79,28 @@ def test_domain_tables_against_brute_force(spark, data):
     from linkloom.plans import problems
 
     raw = spark.read.parquet(f"{data}/raw_groups.parquet").collect()
+    groups = spark.read.parquet(f"{data}/hero_groups.parquet").collect()
     want = set().union(*(brute(r["record_id"], r["raw"]) for r in raw))
-    got = {tuple(r) for r in problems.p5_found(spark, data).collect() if r["record_id"] >= 500_000}
-    assert got == want
+    want |= set().union(*(brute(r["record_id"], json.dumps({"group_id": r["group_id"], "member_evidence": r.asDict(True)["member_evidence"]})) for r in groups))
+    rows = [tuple(r) for r in problems.p5_found(spark, data).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_typed_rows_have_the_nodes_of_their_json(spark):
+    e = "array<struct<schema_version string, entity_id string, source string, detail string, refs array<string>>>"
+    rows = [(1, "g", [("1", "e", None, "", ["a", None]), None, (None, None, None, None, None), ("2", "f", "s", "d", [])]), (2, "h", None), (3, None, []), (4, "g", [("1", "e", "s", "d", ["x"] * 3000)])]
+    df = spark.createDataFrame([(*r, 7) for r in rows + rows[:1]], f"rid long, group_id string, member_evidence {e}, node int")
+    typed = S.shred_evidence(df, "rid")
+    names = ["schema_version", "entity_id", "source", "detail", "refs"]
+    texts = [(k, json.dumps({"group_id": g, "member_evidence": None if m is None else [None if x is None else dict(zip(names, x, strict=True)) for x in m]})) for k, g, m in rows]
+    parsed = S.shred_json(spark.createDataFrame(texts, "rid long, t string"), "rid", "t")
+
+    def tree(nodes):
+        by = {(r["record_id"], r["node"]): r for r in nodes.collect()}
+        up = lambda k, n: () if n < 0 else (*up(k, by[k, n]["parent"]), (by[k, n]["label"], by[k, n]["ordinal"]))
+        return sorted((k, up(k, n), r["kind"], r["value"] or "") for (k, n), r in by.items())
+
+    assert tree(typed) == tree(parsed)
 
 
 def test_adjacency_keeps_links_and_long_texts():
