@@ -92,10 +92,16 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return shredding.group_rows(_shredded(spark, d))
 
 
+def p5_typed(spark: SparkSession, d: str) -> DataFrame:
+    """The references of hero_groups alone, by the same shredding."""
+    typed = shredding.shred_evidence(table(spark, d, "hero_groups").select("record_id", "group_id", "member_evidence"), "record_id")
+    return shredding.evidence_rows(Scratch(spark, "typed").save(typed))
+
+
 def _shredded(spark: SparkSession, d: str) -> DataFrame:
     landed = shredding.shred_json(table(spark, d, "raw_groups").select("record_id", "raw"), "record_id", "raw", embedded={"member_evidence"})
     typed = shredding.shred_evidence(table(spark, d, "hero_groups").select("record_id", "group_id", "member_evidence"), "record_id")
     return Scratch(spark, "shredding").save(landed.unionByName(typed))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_paths, p3_descendants, p5_found, p5_groups)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_paths, p3_descendants, p5_found, p5_typed, p5_groups)}

@@ -63,4 +63,10 @@ FROM (SELECT ref_field, stamp, 0 AS o FROM refs UNION ALL SELECT ref_field, stam
   SELECT unnest(string_split(path, '>')) AS message_id, depth, generate_subscripts(string_split(path, '>'), 1) - 1 AS place FROM tree WHERE path IS NOT NULL
 )
 SELECT message_id, count(*) AS n_descendants, count(*) FILTER (WHERE depth - place = 1) AS n_children, CAST(max(depth - place) AS INTEGER) AS height FROM pairs WHERE place < depth GROUP BY 1""",
+    "p5_typed": """
+WITH e AS (SELECT record_id, group_id, unnest(member_evidence) AS e, generate_subscripts(member_evidence, 1) - 1 AS evidence_pos FROM hero_groups WHERE group_id IS NOT NULL),
+n AS (SELECT record_id, group_id, evidence_pos, coalesce(e.entity_id, '') AS entity_id, coalesce(e.source, '') AS source, e.refs AS refs FROM e WHERE e IS NOT NULL),
+r AS (SELECT * EXCLUDE (refs), unnest(refs) AS ref, generate_subscripts(refs, 1) - 1 AS ref_pos FROM n)
+SELECT DISTINCT record_id, group_id, CAST(evidence_pos AS INTEGER) AS evidence_pos, entity_id, source, CAST(ref_pos AS INTEGER) AS ref_pos, ref FROM r WHERE ref IS NOT NULL
+UNION SELECT record_id, group_id, CAST(evidence_pos AS INTEGER), entity_id, source, -1, '' FROM n WHERE refs IS NULL OR len(list_filter(refs, lambda x: x IS NOT NULL)) = 0""",
 }

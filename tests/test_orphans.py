@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from linkloom.operators import orphans
@@ -21,24 +22,29 @@ def test_order_and_validity(spark):
     assert "bits" not in got.columns
 
 
-def test_a_saturated_filter_changes_nothing(spark):
+@pytest.mark.parametrize("bits", [0.001, 12])
+@pytest.mark.parametrize("limit", [0, 1 << 27])
+def test_size_and_place_of_the_filter_change_nothing(spark, bits, limit):
     rnd = random.Random(1)
     parents = [("c", f"k{k}", k, None, None) for k in range(3000)]
     refs = [("c", f"r{k}", f"k{rnd.randrange(4000)}", 10_000, None, "p", 0) for k in range(800)] + [("c", f"h{k}", "k7", 10_000, None, "p", 0) for k in range(400)]
     r, p = spark.createDataFrame(refs, REF), spark.createDataFrame(parents, PAR)
     want = sorted(x[1] for x in refs if int(x[2][1:]) >= 3000)
-    for cap in (64, 1 << 20):
-        assert sorted(x["record_id"] for x in orphans.find_orphans(r, p, n_parents=3000, max_words=cap).collect()) == want
-
-
-def test_bloom_has_no_false_negatives_and_a_bounded_size(spark):
-    keys = spark.range(5000).select(F.lit("f").alias("field"), F.col("id").cast("string").alias("k"))
-    words = orphans.words_for(5000)
-    bloom = orphans.bloom_words(keys, ["field", "k"], words)
-    assert bloom.count() <= words <= orphans.MAX_WORDS
-    mask = orphans._mask(F.col("field"), F.col("k"))
-    hit = keys.withColumn("word", orphans._word(words, F.col("field"), F.col("k"))).join(bloom, "word").filter(F.col("bits").bitwiseAND(mask) == mask)
-    assert hit.count() == 5000
+    assert sorted(x["record_id"] for x in orphans.find_orphans(r, p, n_parents=3000, bits_per_key=bits, broadcast_bytes=limit).collect()) == want
+
+
+def test_filter_of_many_keys_is_packed_and_seldom_wrong(spark):
+    n = 2_000_000
+    keys = spark.range(n).select(F.lit("f").alias("field"), F.col("id").cast("string").alias("k"))
+    words = orphans.words_for(n)
+    slices = orphans.bloom_slices(keys, ["field", "k"], words).cache()
+    sizes = [r["n"] for r in slices.select(F.size("bits").alias("n")).collect()]
+    assert sum(sizes) == words and max(sizes) <= orphans.SLICE_WORDS and 8 * words <= 1.01 * n * orphans.BITS_PER_KEY / 8
+    asked = spark.range(2 * n).select(F.lit("f").alias("field"), F.col("id").cast("string").alias("k"), "id")
+    out = orphans.probe(asked, slices, ["field", "k"], words, broadcast=True)
+    known, unknown = out.agg(F.count_if((F.col("id") < n) & F.col("maybe")), F.count_if((F.col("id") >= n) & F.col("maybe"))).head()
+    assert known == n and unknown < 0.02 * n
+    slices.unpersist()
 
 
 def test_validity_periods_are_merged(spark):
