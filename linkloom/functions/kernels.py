@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,21 +67,44 @@ def wilson(hits: Column, total: Column, z: float = 1.96) -> tuple[Column, Column
     return F.when(none, 0.0).otherwise(F.greatest(F.lit(0.0), mid - half)), F.when(none, 1.0).otherwise(F.least(F.lit(1.0), mid + half))
 
 
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x >= 1, by Stirling's series at x + 8."""
+    z = x + 8.0
+    series = (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, F.lit(5.0)))
+    steps = x
+    for k in range(1, 8):
+        steps = steps * (x + float(k))
+    return series - F.ln(steps)
+
+
 def mcnemar_p(b: Column, c: Column) -> Column:
     """Exact two-sided p of discordant counts b and c: twice the binomial tail at one half, 1 at most, null without any.
 
-    The terms follow from one another and from logarithms, so large counts neither overflow nor underflow early.
+    The largest term of the tail comes from logarithms and the others from it, downwards, until they no longer count:
+    about ten standard deviations, whatever the counts.
     """
-    n, k = (b + c).cast("double"), F.least(b, c).cast("int")
-    state = F.struct(F.exp(-n * F.log(F.lit(2.0))).alias("term"), F.exp(-n * F.log(F.lit(2.0))).alias("total"))
-    steps = F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
+    n, k = (b + c).cast("double"), F.least(b, c).cast("double")
+    top = F.exp(log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0) - n * math.log(2.0))
+    terms = F.least(k, F.ceil(10 * F.sqrt(n)) + 60).cast("int")
+    steps = F.when(terms > 0, F.sequence(F.lit(0), terms - 1)).otherwise(F.array().cast("array<int>"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
     def add(s: Column, i: Column) -> Column:
-        t = s["term"] * (n - i + 1) / i
+        t = s["term"] * (k - i) / (n - k + i + 1.0)
         return F.struct(t.alias("term"), (s["total"] + t).alias("total"))
 
-    tail = F.aggregate(steps, state, add)["total"]
-    return F.when(n > 0, F.least(F.lit(1.0), 2 * tail))
+    tail = F.aggregate(steps, start, add)["total"]
+    return F.when(n > 0, F.least(F.lit(1.0), 2 * top * tail))
+
+
+def required_trials(p: Column, half_width: float, z: float = 1.96) -> Column:
+    """The smallest number of trials whose Wilson interval around a share p is no wider than half_width to either side.
+
+    The condition is a quadratic inequality in the number of trials, so nothing is searched."""
+    w2, z2 = half_width * half_width, z * z
+    b = 2 * w2 * z2 - z2 * p * (1 - p)
+    root = (-b + F.sqrt(b * b - 4 * w2 * (w2 * z2 * z2 - z2 * z2 / 4))) / (2 * w2)
+    return F.greatest(F.lit(1), F.ceil(F.nanvl(root, F.lit(1.0)) - 1e-6)).cast("long")
 
 
 def hash_bucket(key: Column, buckets: int) -> Column:

@@ -81,6 +81,7 @@ def match_most(edges: list[tuple], order: Iterable[int] | None = None) -> dict:
     for k in order if order is not None else range(len(edges)):
         near[edges[k][0]].append(edges[k][1])
     taken: dict = {}
+    held: dict = {}
     for start in near:
         # Iterative search: a chain of alternatives may be as long as the graph.
         parent: dict = {}
@@ -96,13 +97,12 @@ def match_most(edges: list[tuple], order: Iterable[int] | None = None) -> dict:
                     end = y
                     break
                 stack.append(taken[y])
-        held = {x: y for y, x in taken.items()}
         while end is not None:
             x = parent[end]
             before = held.get(x)
-            taken[end] = x
+            taken[end], held[x] = x, end
             end = before if x != start else None
-    return {x: y for y, x in taken.items()}
+    return held
 
 
 # --- constrained union ------------------------------------------------------------------------------------------------

@@ -58,6 +58,42 @@ def blocked_topk(features: DataFrame, *, key: str, side: str, category: str, vec
     return local.withColumn("rn", F.row_number().over(rank)).filter(F.col("rn") <= k).drop("rn")
 
 
+def first_hit_rank(features: DataFrame, *, key: str, query: Column, label: str, vector: str, block_rows: int = 2048, digits: int = 6) -> DataFrame:
+    """The rank at which every query first meets a row of its own label: ``src, label, rank, score``, null without one.
+
+    The others are ranked by rounded cosine clamped to [0, 1], ties by the smaller key. The best row of the own label is
+    found first; its rank is one more than the number of rows before it, counted in blocks, so no list of ranked rows is
+    built however far down it stands. Null keys, labels or vectors take no part.
+    """
+    rows = features.select(F.col(key).alias("id"), query.cast("int").alias("side"), F.col(label).alias("lab"), F.col(vector).cast("array<double>").alias("v"))
+    rows = rows.filter("id is not null and side is not null and lab is not null and size(v) > 0")
+    best = blocked_topk(rows, key="id", side="side", category="lab", vector="v", k=1, block_rows=block_rows, digits=digits).filter("src_side = 1")
+    asked = rows.filter("side = 1").join(best.select(F.col("src").alias("id"), "dst", "score"), "id")
+    n_left, n_right = (max(1, -(-rows.filter(f"side = {k}").count() // block_rows)) for k in (1, 0))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(block(n_left).alias("i"), every(n_right).alias("j"), "id", "v", "dst", "score")
+    right = rows.filter("side = 0").select(every(n_left).alias("i"), block(n_right).alias("j"), "id", "v", F.lit(None).cast(rows.schema["id"].dataType).alias("dst"), F.lit(None).cast("double").alias("score"))
+
+    def count(group: pa.Table) -> pa.Table:
+        ids, score = np.array(group.column("id").to_pylist()), group.column("score").to_numpy(zero_copy_only=False)
+        vec = group.column("v").combine_chunks()
+        vec = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        vec = vec / np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-12)
+        a, b = np.flatnonzero(~np.isnan(score)), np.flatnonzero(np.isnan(score))
+        sims = np.round(np.clip(vec[a] @ vec[b].T, 0.0, 1.0), digits)
+        limit, first = score[a, None], np.array([x for x in group.column("dst").to_pylist() if x is not None])
+        before = (sims > limit) | ((sims == limit) & (ids[b][None, :] < first[:, None])) if len(a) else np.zeros((0, len(b)), bool)
+        return pa.table({"src": pa.array(ids[a].tolist(), id_type), "before": pa.array(before.sum(1), pa.int64())})
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = to_arrow_type(rows.schema["id"].dataType)
+    counted = left.unionByName(right).groupBy("i", "j").applyInArrow(count, f"src {rows.schema['id'].dataType.simpleString()}, before long")
+    ranks = counted.groupBy("src").agg((F.sum("before") + 1).alias("rank")).join(best.select("src", "score"), "src")
+    return rows.filter("side = 1").select(F.col("id").alias("src"), F.col("lab").alias("label")).join(ranks, "src", "left")
+
+
 def symmetric_union(recalled: DataFrame) -> DataFrame:
     """Recalls of both ends as pairs ``a < b``, once each, with both ends' sides."""
     swap = F.col("src") > F.col("dst")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import kernels as K
-from linkloom.operators import components, folds, pairs
+from linkloom.operators import components, folds, groups, pairs
 from linkloom.session import Scratch
 from linkloom.sources.tables import table
 
@@ -194,16 +194,10 @@ def tracked_boxes(spark, d):
 
 @query
 def retrieval_metrics(spark, d):
-    """Recall at 1 and 5 and mean reciprocal rank, 0 beyond rank 20, of vectors of clip 0 among those of clips 1 and 2, by label."""
-    near = pairs.blocked_topk(_features(spark, d).withColumn("side", (F.col("clip") == 0).cast("int")).withColumn("all", F.lit(0)), key="vec_id", side="side", category="all", vector="embedding", k=20)
-    lab = _features(spark, d).select(F.col("vec_id"), "label")
-    hits = near.filter("src_side = 1").join(lab.select(F.col("vec_id").alias("src"), F.col("label").alias("ls")), "src").join(lab.select(F.col("vec_id").alias("dst"), F.col("label").alias("ld")), "dst")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst"))
-    first = hits.withColumn("rank", rank).groupBy("src", "ls").agg(F.min(F.when(F.col("ls") == F.col("ld"), F.col("rank"))).alias("r"))
-    return first.groupBy(F.col("ls").alias("label")).agg(
-        F.count(F.lit(1)).alias("n_queries"), F.round(F.avg(F.coalesce((F.col("r") <= 1).cast("double"), F.lit(0.0))), 6).alias("recall_1"),
-        F.round(F.avg(F.coalesce((F.col("r") <= 5).cast("double"), F.lit(0.0))), 6).alias("recall_5"), F.round(F.avg(F.coalesce(1.0 / F.col("r"), F.lit(0.0))), 6).alias("mrr"),
-    )
+    """Recall at 1 and 5 and mean reciprocal rank of vectors of clip 0 among those of clips 1 and 2, by label."""
+    first = pairs.first_hit_rank(_features(spark, d), key="vec_id", query=F.col("clip") == 0, label="label", vector="embedding")
+    within = lambda k: F.round(F.avg(F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0))), 6)
+    return first.groupBy("label").agg(F.count(F.lit(1)).alias("n_queries"), within(1).alias("recall_1"), within(5).alias("recall_5"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
 
 
 @query
@@ -239,16 +233,7 @@ def mcnemar_paired(spark, d):
 @query
 def nearest_rank_quantiles(spark, d):
     """Nearest-rank quantiles of the price by priority."""
-    o = table(spark, d, "orders")
-    # Ranks by counting: values per group are pre-aggregated and walked in order, no array of a whole group is built.
-    c = o.groupBy("o_orderpriority", "o_totalprice").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("o_orderpriority").orderBy("o_totalprice")
-    r = c.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy("o_orderpriority")))
-
-    def at(p: float):
-        return F.min(F.when(F.col("upto") > F.least(F.col("all") - 1, F.floor(F.col("all") * F.lit(p))), F.col("o_totalprice")))
-
-    return r.groupBy("o_orderpriority").agg(at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"))
+    return groups.nearest_ranks(table(spark, d, "orders"), "o_orderpriority", "o_totalprice", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
 
 
 @query
@@ -460,12 +445,10 @@ def threshold_sweep(spark, d):
 
 @query
 def required_sample_size(spark, d):
-    """The smallest number of trials whose Wilson interval is no wider than 0.05 to either side, by language."""
+    """The smallest number of trials whose Wilson interval is no wider than 0.05, and 0.01, to either side, by language."""
     g = table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("n_chars") > 500).alias("hits"))
-    n = g.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(600))))
-    p, x, z = F.col("hits") / F.col("total"), F.col("n").cast("double"), 1.96
-    half = z * F.sqrt(p * (1 - p) / x + z * z / (4 * x * x)) / (1 + z * z / x)
-    return n.groupBy("lang").agg(F.min(F.when(F.round(half, 9) <= 0.05, F.col("n"))).alias("n_needed"))
+    p = F.col("hits") / F.col("total")
+    return g.select("lang", K.required_trials(p, 0.05).alias("n_needed"), K.required_trials(p, 0.01).alias("n_needed_01"))
 
 
 @query

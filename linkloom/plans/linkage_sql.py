@@ -79,7 +79,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, round(both_ / (a1 + a2 - both_), 6)
 WITH f AS (SELECT vec_id, vec_id % 3 = 0 AS q, label, embedding::DOUBLE[] AS v FROM embeddings),
 s AS (SELECT a.vec_id AS src, a.label AS ls, b.vec_id AS dst, b.label AS ld, round(greatest(0.0, least(1.0, list_cosine_similarity(a.v, b.v))), 6) AS score FROM f a JOIN f b ON a.q AND NOT b.q),
 r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM s),
-m AS (SELECT src, ls, min(CASE WHEN ls = ld AND rank <= 20 THEN rank END) AS r FROM r GROUP BY src, ls)
+m AS (SELECT src, ls, min(CASE WHEN ls = ld THEN rank END) AS r FROM r GROUP BY src, ls)
 SELECT ls AS label, count(*) AS n_queries, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(avg(coalesce(1.0::DOUBLE / r, 0.0)), 6) AS mrr FROM m GROUP BY ls""",
     "rank_auc": """
 WITH o AS (SELECT o_orderstatus, floor(o_totalprice / 1000) AS s, o_orderpriority = '1-URGENT' AS y FROM orders),
@@ -178,8 +178,9 @@ SELECT threshold, count(*) FILTER (WHERE round(aspect, 6) >= threshold) AS n_pai
 FROM scored, g GROUP BY 1""",
     "required_sample_size": """
 WITH g AS (SELECT lang, count(*) AS total, count(*) FILTER (WHERE n_chars > 500) AS hits FROM documents GROUP BY 1),
-n AS (SELECT lang, hits::DOUBLE / total AS p, unnest(range(1, 601))::DOUBLE AS x FROM g)
-SELECT lang, CAST(min(CASE WHEN round(1.96 * sqrt(p * (1 - p) / x + 1.96 * 1.96 / (4 * x * x)) / (1 + 1.96 * 1.96 / x), 9) <= 0.05 THEN x END) AS INTEGER) AS n_needed FROM n GROUP BY 1""",
+n AS (SELECT lang, hits::DOUBLE / total AS p, unnest(range(1, 20001))::DOUBLE AS x FROM g),
+h AS (SELECT lang, x, round(1.96 * sqrt(p * (1 - p) / x + 1.96 * 1.96 / (4 * x * x)) / (1 + 1.96 * 1.96 / x), 9) AS half FROM n)
+SELECT lang, CAST(min(CASE WHEN half <= 0.05 THEN x END) AS BIGINT) AS n_needed, CAST(min(CASE WHEN half <= 0.01 THEN x END) AS BIGINT) AS n_needed_01 FROM h GROUP BY 1""",
     "label_reconciliation": """
 WITH p AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS name, p_type, p_size FROM part),
 e AS (SELECT name, count(DISTINCT p_type) AS n, min(p_type) AS target FROM p WHERE p_size > 25 GROUP BY 1)

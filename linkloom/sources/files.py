@@ -37,15 +37,21 @@ def pinned(spark: SparkSession, path: str, sha256: str) -> str:
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def _hadoop(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where, system = _hadoop(spark, path)
+    system.delete(where, True)
 
 
 def publish_if(df: DataFrame, violations: DataFrame, path: str) -> bool:
     """Publish the rows if there is no violation; otherwise remove what was published before and publish nothing.
 
-    The rows are written beside the target and moved there, so that readers never see a half-written table.
+    The rows are written beside the target first, and the old table is set aside before the new one is moved in: readers
+    never see a half-written table, only for a moment none, and the old one comes back if the move fails.
     """
     spark = df.sparkSession
     if not violations.isEmpty():
@@ -53,10 +59,16 @@ def publish_if(df: DataFrame, violations: DataFrame, path: str) -> bool:
         return False
     staged = f"{path}.staged"
     df.write.mode("overwrite").parquet(staged)
-    _remove(spark, path)
-    target, source = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, staged))
-    if not source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, target):
+    (target, system), (source, _), (old, _) = (_hadoop(spark, p) for p in (path, staged, f"{path}.old"))
+    system.delete(old, True)
+    had = system.exists(target)
+    if had and not system.rename(target, old):
+        raise OSError(f"couldn't set {path} aside")
+    if not system.rename(source, target):
+        if had:
+            system.rename(old, target)
         raise OSError(f"couldn't move {staged} to {path}")
+    system.delete(old, True)
     return True
 
 
@@ -64,11 +76,9 @@ def append_events(df: DataFrame, path: str, key: str) -> int:
     """Append rows whose key the log doesn't hold yet, once each; returns how many. Never overwrites."""
     spark = df.sparkSession
     fresh = df.dropDuplicates([key])
-    try:
+    where, system = _hadoop(spark, path)
+    if system.exists(where):
         fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti").select(*df.columns)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
     fresh = fresh.persist()
     n = fresh.count()
     if n:
