@@ -6,11 +6,14 @@ for Han characters.
 
 The evaluation items are the documents of a BM25 inverted index whose postings are cut into blocks with their largest
 impact. Every passage of the corpus is a query: a bound from the largest impacts of its terms rules out nearly all, the
-others run block-max WAND and retrieve all items above a threshold. For these the shared stretch is aligned: matching
-runs are chained in order, across single changed, added or dropped words, and the item's share in the chain decides.
-
-The corpus is read once, without a shuffle; all of every text is queried, in overlapping passages. The index is
-broadcast; items beyond a bound of characters are indexed and queried in several rounds of that size.
+others run block-max WAND and retrieve all items above their threshold. A threshold belongs to its item: a part of the
+least weight that a stretch long enough to count can have in it. Short items, in which such a stretch may hold no long
+gram, are indexed by short grams besides. For the retrieved items the shared stretch is aligned: matching runs are
+chained in order, across single changed, added or dropped words, and the item's share in the chain decides.
+
+All of every text is queried, in overlapping passages, in batches of rows and with no shuffle but one that spreads a
+table read in fewer parts than there are cores. The index is broadcast; items beyond INDEX_CHARS characters are indexed
+and queried in several rounds of that size, with the statistics of all items, so that the pairs are the same.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkloom.llm.spreading import spread
+from linkloom.session import Scratch
 
 #: Characters of items in one broadcast index.
 INDEX_CHARS = 4_000_000
@@ -36,8 +40,11 @@ LATIN_GRAM, HAN_GRAM = 14, 5
 #: Shorter grams for the alignment of retrieved pairs.
 FINE_LATIN, FINE_HAN = 7, 3
 PASSAGE, STRIDE = 256, 128
-#: Distinct average terms whose BM25 weight a passage must share with an item to be looked at.
-LEAST_TERMS = 20
+#: A passage is looked at if its BM25 weight in an item is SLACK of that of the item's lightest stretch that would count,
+#: or that of so many average terms if this is less.
+LEAST_TERMS, SLACK = 20, 0.35
+#: Items of fewer letters, a Han character for three, are indexed by the short grams as well.
+SHORT_ITEM = 120
 #: The part of an aligned stretch that must match letter by letter.
 DENSITY = 0.66
 K1, B = 1.2, 0.75
@@ -95,13 +102,35 @@ def grams(points: np.ndarray, latin: int, han: int) -> tuple[np.ndarray, np.ndar
     return at[order], h[order]
 
 
+def index_terms(points: np.ndarray) -> np.ndarray:
+    """Hashes of the index terms of one item, in order of place; short grams are terms of their own."""
+    _, terms = grams(points, LATIN_GRAM, HAN_GRAM)
+    if is_short(points):
+        _, fine = grams(points, FINE_LATIN, FINE_HAN)
+        terms = np.concatenate([terms, _as_fine(fine)])
+    return terms
+
+
+def is_short(points: np.ndarray) -> bool:
+    return len(points) + 2 * int(_is_han(points).sum()) < SHORT_ITEM
+
+
+def _as_fine(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (h ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0xD6E8FEB86659FD93)
+
+
 class Index:
-    """Inverted BM25 index of the items with block maxima."""
+    """Inverted BM25 index of the items with block maxima; impacts are in units of the item's threshold.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    df, n_items and mean_length are those of all items where only a part of them is indexed.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], *, least_share: float = 0.4, df: tuple[np.ndarray, np.ndarray] | None = None, n_items: int | None = None, mean_length: float | None = None):
         self.ids = [i for i, _ in items]
         self.points = [_points(stream(t or "")) for _, t in items]
-        per = [np.unique(grams(p, LATIN_GRAM, HAN_GRAM)[1], return_counts=True) for p in self.points]
+        placed = [index_terms(p) for p in self.points]
+        per = [np.unique(t, return_counts=True) for t in placed]
         lengths = np.array([c.sum() for _, c in per], float)
         term = np.concatenate([h for h, _ in per]) if per else np.empty(0, np.uint64)
         tf = np.concatenate([c for _, c in per]) if per else np.empty(0, int)
@@ -109,22 +138,53 @@ class Index:
         order = np.lexsort((doc, term))
         term, tf, doc = term[order], tf[order].astype(float), doc[order]
         #: Postings of term k: documents and impacts from starts[k] to starts[k + 1].
-        self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
+        self.terms, first, own = np.unique(term, return_index=True, return_counts=True)
         self.starts, self.docs = np.append(first, len(term)), doc
-        n = len(items)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        size = lengths[doc] / max(1.0, lengths.mean() if n else 1.0)
-        self.impacts = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size))
+        known = own if df is None else df[1][np.searchsorted(df[0], self.terms)]
+        n = n_items or len(items)
+        idf = np.log(1 + (n - known + 0.5) / (known + 0.5))
+        size = lengths[doc] / max(1.0, mean_length or (lengths.mean() if len(items) else 1.0))
+        weight = np.repeat(idf, own) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size))
+        # Terms of one item are sorted, so a term's weight in it is found by bisection.
+        by_item = np.lexsort((term, doc))
+        bounds = np.searchsorted(doc[by_item], np.arange(len(items) + 1))
+        self.limits = np.ones(len(items))
+        for k, p in enumerate(self.points):
+            at = by_item[bounds[k] : bounds[k + 1]]
+            if len(at):
+                self.limits[k] = self._limit(p, term[at], weight[at], least_share)
+        self.impacts = weight / self.limits[doc]
         self.bound = np.maximum.reduceat(self.impacts, first) if len(first) else np.empty(0)
         #: The largest impact within each block of items, repeated for every posting of the block.
         block = doc // BLOCK
         edge = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else np.empty(0, int)
         best = np.maximum.reduceat(self.impacts, edge) if len(edge) else np.empty(0)
         self.block_best = np.repeat(best, np.diff(np.append(edge, len(term))))
-        self.threshold = LEAST_TERMS * float(idf.mean()) if len(idf) else 1.0
+        self.threshold = 1.0
+        self.short = any(is_short(p) for p in self.points)
         self._fine: dict[int, dict[int, list[int]]] = {}
         self._postings: dict[int, tuple] = {}
 
+    @staticmethod
+    def _limit(points: np.ndarray, terms: np.ndarray, weight: np.ndarray, least_share: float) -> float:
+        """The weight from which the item is looked at. A passage holds any stretch of STRIDE characters whole."""
+        length = min(int(np.ceil(least_share * len(points))), STRIDE)
+        total = np.zeros(len(points) + 1)
+        for latin, han, fine in ((LATIN_GRAM, HAN_GRAM, False), (FINE_LATIN, FINE_HAN, True)):
+            if fine and not is_short(points):
+                continue
+            at, h = grams(points, latin, han)
+            ends = at + np.where(_is_han(points)[at], han, latin)
+            value = weight[np.searchsorted(terms, _as_fine(h) if fine else h)]
+            # The weight of the grams that lie in a window is the sum of those that end in it less those begun before it.
+            begun, ended = (np.concatenate([[0.0], np.cumsum(np.bincount(x, value, len(points) + 1))]) for x in (at, ends))
+            windows = np.maximum(0.0, ended[length + 1 :] - begun[: len(begun) - length - 1])
+            total[: len(windows)] += windows
+        least = total[: max(1, len(points) - length + 1)]
+        least = least[least > 0]
+        common = LEAST_TERMS * float(np.mean(weight))
+        return float(min(common, SLACK * least.min())) if len(least) else SLACK * float(weight.min())
+
     def postings(self, term: int) -> tuple[list[int], list[float], dict[int, float], float]:
         """Documents, impacts, block maxima and largest impact of a term; short lists, faster as such than as arrays."""
         found = self._postings.get(term)
@@ -240,6 +300,10 @@ def leaked_items(texts: list[str | None], index: Index, least_share: float) -> l
     base = np.concatenate([[0], np.cumsum(lengths)])
     whole = np.concatenate([x for s in streams for x in (s, gap)])
     at, h = grams(whole, LATIN_GRAM, HAN_GRAM)
+    if index.short:
+        fine_at, fine = grams(whole, FINE_LATIN, FINE_HAN)
+        order = np.argsort(both := np.concatenate([at, fine_at]), kind="stable")
+        at, h = both[order], np.concatenate([h, _as_fine(fine)])[order]
     slot = np.searchsorted(index.terms, h)
     slot[slot == len(index.terms)] = 0
     hit = index.terms[slot] == h
@@ -266,21 +330,48 @@ def leaked_items(texts: list[str | None], index: Index, least_share: float) -> l
     return found
 
 
-def find_leaks(documents: DataFrame, doc_key: str, items: DataFrame, item_key: str, text: str = "text", *, least_share: float = 0.4) -> DataFrame:
+def _statistics(rows: DataFrame) -> DataFrame:
+    """In how many items each term stands: ``term, df``, with ``size``, the number of terms of all items, in the row of
+    the null term."""
+
+    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, t in zip(batch["i"], batch["t"], strict=True):
+                h = index_terms(_points(stream(t)))
+                yield pd.DataFrame({"i": i, "term": np.unique(h).view(np.int64)})
+                yield pd.DataFrame({"i": [i], "term": pd.array([None], "Int64"), "size": [len(h)]})
+
+    found = rows.mapInPandas(lambda b: (x.assign(size=x.get("size", 0)) for x in terms(b)), "i long, term long, size long")
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("size").alias("size"))
+
+
+def find_leaks(documents: DataFrame, doc_key: str, items: DataFrame, item_key: str, text: str = "text", *, least_share: float = 0.4, index_chars: int = INDEX_CHARS) -> DataFrame:
     """Documents and the items they hold: ``doc_key, item_key``, no row twice.
 
     Null, empty and blank texts on either side hold and leak nothing, as do rows with a null key. Further columns are
-    ignored. Items of fewer characters than one gram can't be found.
+    ignored. Items of fewer characters than one short gram (7 letters, 3 Han characters) can't be found. A repeated item
+    id stands for every text it is given with.
     """
-    rows = items.select(F.col(item_key).cast("long").alias("i"), F.col(text).alias("t")).filter("i is not null and t is not null")
+    rows = items.select(F.col(item_key).cast("long").alias("i"), F.col(text).alias("t")).filter("i is not null and t is not null").distinct()
     total = rows.agg(F.sum(F.length("t"))).head()[0] or 0
-    rounds = total // INDEX_CHARS + 1
+    rounds = total // index_chars + 1
     docs = spread(documents.select(F.col(doc_key).cast("long").alias("d"), F.col(text).alias("t")).filter("d is not null and t is not null"))
     schema = T.StructType([T.StructField(doc_key, T.LongType()), T.StructField(item_key, T.LongType())])
+    stats, whole = None, {}
+    if rounds > 1:
+        stats = Scratch(items.sparkSession, "leaks").save(_statistics(rows))
+        everything = stats.filter("term is null").head()
+        whole = {"n_items": everything["df"], "mean_length": everything["size"] / everything["df"]}
     out = None
     for k in range(rounds):
-        part = [(r["i"], r["t"]) for r in rows.filter(F.pmod(F.xxhash64("i"), F.lit(rounds)) == k).distinct().orderBy("i", "t").collect()]
-        shared = documents.sparkSession.sparkContext.broadcast(Index(part))
+        part = [(r["i"], r["t"]) for r in rows.filter(F.pmod(F.xxhash64("i"), F.lit(rounds)) == k).orderBy("i", "t").collect()]
+        if stats is not None:
+            mine = np.unique(np.concatenate([index_terms(_points(stream(t))) for _, t in part] or [np.empty(0, np.uint64)]))
+            asked = items.sparkSession.createDataFrame(pd.DataFrame({"term": mine.view(np.int64)}), "term long")
+            counts = stats.join(asked, "term").select("term", "df").toPandas()
+            order = np.argsort(counts["term"].to_numpy(np.int64).view(np.uint64))
+            whole["df"] = (counts["term"].to_numpy(np.int64).view(np.uint64)[order], counts["df"].to_numpy()[order])
+        shared = documents.sparkSession.sparkContext.broadcast(Index(part, least_share=least_share, **whole))
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = shared.value

@@ -34,9 +34,31 @@ def test_very_long_text_and_empty_tables(spark):
     assert found(spark, []) == set() and found(spark, [(1, ITEM)], []) == set() and found(spark, [(1, ITEM)], [(5, "short")]) == set()
 
 
-def test_items_in_several_rounds(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "INDEX_CHARS", 200)
-    assert found(spark, [(1, ITEM), (2, HAN)]) == {(1, 1), (2, 2)}
+def test_rounds_change_nothing(spark):
+    items = [(k, " ".join(RND.choice(WORDS) for _ in range(RND.randrange(3, 60)))) for k in range(40)] + [(90, HAN), (91, ITEM)]
+    docs = [(k, NOTE + " " + t[len(t) // 3 :] + " " + NOTE) for k, (_, t) in enumerate(items)] + [(100, NOTE)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    got = [{tuple(r) for r in leakage.find_leaks(d, "doc_id", i, "item_id", index_chars=n).collect()} for n in (600, 4_000_000)]
+    assert got[0] == got[1] and {(k, i) for k, (i, _) in enumerate(items)} <= got[0]
+
+
+def test_short_items_whole_and_half():
+    rnd = random.Random(4)
+    letters = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    han = lambda n: "".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(n))
+    items = [letters(n) for n in range(20, 82, 2)] + [han(n) for n in range(9, 40, 3)]
+    index = leakage.Index(list(enumerate(items)))
+    assert index.short
+    for k, t in enumerate(items):
+        half = len(t) // 2
+        texts = [letters(300) + t + letters(300), letters(130) + t[:half] + letters(200), letters(77) + t[half:] + letters(90)]
+        assert [x for x in leakage.leaked_items(texts, index, 0.4)] == [(0, k), (1, k), (2, k)], t
+    assert leakage.leaked_items([letters(5000), han(2000)], index, 0.4) == []
+
+
+def test_long_items_need_no_short_grams():
+    assert not leakage.Index([(1, ITEM), (2, HAN)]).short
 
 
 def test_wand_finds_what_a_full_scan_finds():
