@@ -1,10 +1,15 @@
 """Encoding of a corpus with a public byte-level BPE vocabulary.
 
-Short texts are encoded as they are. Long ones are cut where the tokenizer's own pattern splits them, and the pieces
-spread over the cluster. A stretch that the pattern doesn't split (a long run of letters, as Chinese prose is) is cut
-into blocks all the same; blocks are encoded in parallel and put together pairwise, as a tree. At each join a window of
-the last and first tokens is encoded again and grows until its outer tokens agree with both sides. A sequence of BPE
-tokens is the encoding of its bytes if every two neighbours are, so agreement at both ends makes the whole exact.
+Short texts are encoded as they are. Long ones are cut into blocks of equal length wherever that falls, the blocks are
+encoded over the cluster, and neighbours are put together as a tree, level by level. At each join the text around the
+cut is encoded again, in a window that grows until both its ends agree with what the sides have:
+
+* The tokenizer first splits a text into pieces. Some places end a piece whatever stands around them (a change between
+  letters, digits and other signs, white space after a character). The window reaches from the last such place on the
+  left to the first one on the right; beyond them both sides are what they are in the whole.
+* A stretch without such a place (a long run of letters, as Chinese prose is) is one piece. There the window is a number
+  of tokens on either side and doubles until its outer tokens are those of the sides. A sequence of BPE tokens is the
+  encoding of its bytes if every two neighbours are, so agreement at both ends makes the whole exact.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from __future__ import annotations
 import base64
 import functools
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,13 +38,6 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@functools.lru_cache(maxsize=1)
-def _splitter():
-    import regex
-
-    return regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-
-
 def encode_piece(enc, data: bytes) -> list[int]:
     """BPE of bytes that are not split any further."""
     return enc._encode_single_piece(data) if data else []
@@ -57,73 +56,89 @@ def glue(enc, left: list[int], right: list[int], start: int = 8) -> list[int]:
         k *= 2
 
 
-def concatenate(enc, blocks: list[list[int]]) -> list[int]:
-    """Encodings of neighbouring blocks put together as a tree."""
-    while len(blocks) > 1:
-        blocks = [glue(enc, blocks[i], blocks[i + 1]) if i + 1 < len(blocks) else blocks[i] for i in range(0, len(blocks), 2)]
-    return blocks[0] if blocks else []
+_L, _N = r"\p{L}", r"\p{N}"
+#: Places that end a piece in any context: no letter follows an apostrophe there, as "'s" is a piece of its own.
+_SURE = rf"(?<=\P{{White_Space}})(?=\p{{White_Space}})|(?<={_L})(?=[^\p{{White_Space}}{_L}])|(?<={_N})(?=[^\p{{White_Space}}{_N}])|(?<=[^\p{{White_Space}}{_L}{_N}'])(?=[{_L}{_N}])"
+#: One piece, or a part of one.
+_ONE = rf" ?(?:{_L}+|{_N}+|[^\p{{White_Space}}{_L}{_N}]+)"
+#: A window of so many characters is encoded as a whole.
+WINDOW = 512
 
 
-def cut(text: str, size: int) -> Iterator[tuple[str, bool, bool]]:
-    """Segments of a text as (text, whole, goes on): whole ones are split by the pattern when encoded, others are parts
-    of one unsplit stretch; goes on: it belongs to the same stretch as the segment before.
+@functools.lru_cache(maxsize=1)
+def _places():
+    import regex
 
-    A whole segment ends with a piece that ends in no white space, as the pattern looks ahead from white space only.
-    """
-    held: list[str] = []
-    length = 0
-
-    def flush() -> Iterator[tuple[str, bool, bool]]:
-        tail = []
-        while held and held[-1][-1].isspace():
-            tail.append(held.pop())
-        if held:
-            yield "".join(held), True, False
-        for piece in reversed(tail):
-            yield piece, False, False
-        held.clear()
-
-    for match in _splitter().finditer(text):
-        piece = match.group()
-        if len(piece) > size:
-            yield from flush()
-            length = 0
-            for i in range(0, len(piece), size):
-                yield piece[i : i + size], False, i > 0
-            continue
-        held.append(piece)
-        length += len(piece)
-        if length >= size and not piece[-1].isspace():
-            yield from flush()
-            length = 0
-    yield from flush()
+    return regex.compile(_SURE), regex.compile(f"(?r){_SURE}"), regex.compile(_ONE)
+
+
+class Part(NamedTuple):
+    """A stretch of a text: its ids, and the text and number of tokens before its first and after its last sure place.
+    Without such a place all of it is head and tail."""
+
+    ids: list[int]
+    head: str
+    n_head: int
+    tail: str
+    n_tail: int
+    solid: bool
+
+
+def leaf(enc, text: str) -> Part:
+    ids = enc.encode_ordinary(text)
+    first, last, _ = _places()
+    a = first.search(text, 1)
+    if a is None:
+        return Part(ids, text, len(ids), text, len(ids), True)
+    b = last.search(text)
+    head, tail = text[: a.start()], text[b.start() :]
+    return Part(ids, head, len(enc.encode_ordinary(head)), tail, len(enc.encode_ordinary(tail)), False)
+
+
+def join(enc, left: Part, right: Part) -> Part:
+    """The encoding of both texts together."""
+    if _places()[0].match(left.tail[-1] + right.head[0], 1):
+        return Part(left.ids + right.ids, left.head, left.n_head, right.tail, right.n_tail, False)
+    tail, head = left.ids[len(left.ids) - left.n_tail :], right.ids[: right.n_head]
+    text = left.tail + right.head
+    if len(text) > WINDOW and _places()[2].fullmatch(text):
+        middle = glue(enc, tail, head)
+    else:
+        middle = enc.encode_ordinary(text)
+    ids = left.ids[: len(left.ids) - left.n_tail] + middle + right.ids[right.n_head :]
+    n = len(middle)
+    return Part(
+        ids,
+        text if left.solid else left.head,
+        n if left.solid else left.n_head,
+        text if right.solid else right.tail,
+        n if right.solid else right.n_tail,
+        left.solid and right.solid,
+    )
+
+
+def join_all(enc, parts: list[Part]) -> Part:
+    """Neighbouring parts put together pairwise, as a tree."""
+    while len(parts) > 1:
+        parts = [join(enc, parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
 
 
 def encode_text(enc, text: str, size: int) -> list[int]:
     """The same path on one machine: cut, encode, put together."""
-    return _join(enc, [(_encode(enc, t, whole), on) for t, whole, on in cut(text, size)])
+    return join_all(enc, [leaf(enc, text[i : i + size]) for i in range(0, len(text), size)]).ids if text else []
 
 
-def _encode(enc, text: str, whole: bool) -> list[int]:
-    return enc.encode_ordinary(text) if whole else encode_piece(enc, text.encode())
+#: Neighbours that one task puts together at a level.
+FAN = 32
 
 
-def _join(enc, segments: list[tuple[list[int], bool]]) -> list[int]:
-    out: list[int] = []
-    run: list[list[int]] = []
-    for ids, on in segments:
-        if not on:
-            out += concatenate(enc, run)
-            run = []
-        run.append(ids)
-    return out + concatenate(enc, run)
-
-
-def encode_corpus(documents: DataFrame, key: str, text: str, ranks: str, *, long_chars: int = 2048, segment_chars: int = 1024) -> DataFrame:
+def encode_corpus(documents: DataFrame, key: str, text: str, ranks: str, *, long_chars: int = 2048, block_chars: int = 1024, fan: int = FAN) -> DataFrame:
     """Token ids of every document: ``key, ids``; null and empty texts have an empty list.
 
-    ranks: path of the vocabulary file on every executor. Texts above long_chars characters are cut into segments of
-    about segment_chars. The result doesn't depend on either. Repeated rows stay repeated; further columns are ignored.
+    ranks: path of the vocabulary file on every executor. Texts above long_chars characters go through the tree: blocks
+    of block_chars, of which a task joins ``fan`` neighbours at each level. The result depends on none of the three.
+    Repeated rows stay repeated; further columns are ignored.
     """
     kind = documents.schema[key].dataType
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t"))
@@ -135,33 +150,37 @@ def encode_corpus(documents: DataFrame, key: str, text: str, ranks: str, *, long
         return pd.Series([enc.encode_ordinary(t) if t else [] for t in texts])
 
     short = rows.filter(~F.coalesce(is_long, F.lit(False))).select("k", encode("t").alias("ids"))
+    # Equal rows are encoded once and repeated at the end.
+    long = rows.filter(is_long).groupBy("k", F.xxhash64("t").alias("h")).agg(F.any_value("t").alias("t"), F.count(F.lit(1)).alias("n"))
+    longest = rows.agg(F.max(F.length("t"))).head()[0] or 0
+    starts = F.sequence(F.lit(0), F.floor((F.length("t") - 1) / block_chars).cast("int"))
+    blocks = long.select("k", "h", "n", "t", F.explode(starts).alias("at"))
+    blocks = blocks.select("k", "h", "n", "at", F.expr(f"substring(t, at * {block_chars} + 1, {block_chars})").alias("t"))
 
-    def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k, h, n, body in zip(batch["k"], batch["h"], batch["n"], batch["t"], strict=True):
-                parts = list(cut(body, segment_chars))
-                yield pd.DataFrame({"k": k, "h": h, "n": n, "at": range(len(parts)), "t": [p[0] for p in parts], "whole": [p[1] for p in parts], "goes_on": [p[2] for p in parts]})
-
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(ranks)
         for batch in batches:
-            ids = [_encode(enc, t, w) for t, w in zip(batch["t"], batch["whole"], strict=True)]
-            yield batch[["k", "h", "n", "at", "goes_on"]].assign(ids=ids)
+            parts = [leaf(enc, t) for t in batch["t"]]
+            yield pd.concat([batch[["k", "h", "n", "at"]].reset_index(drop=True), pd.DataFrame(parts, columns=Part._fields)], axis=1)
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("at")
         enc = encoder(ranks)
-        ids = _join(enc, [([int(x) for x in i], bool(o)) for i, o in zip(group["ids"], group["goes_on"], strict=True)])
-        return pd.DataFrame({"k": [group["k"].iloc[0]], "n": [group["n"].iloc[0]], "ids": [ids]})
+        part = join_all(enc, [Part(list(map(int, r.ids)), r.head, int(r.n_head), r.tail, int(r.n_tail), bool(r.solid)) for r in group.itertuples()])
+        first = group.iloc[:1][["k", "h", "n", "at"]].reset_index(drop=True)
+        return pd.concat([first.assign(at=first["at"] // fan), pd.DataFrame([part], columns=Part._fields)], axis=1)
 
     k = T.StructField("k", kind)
-    whole = [k, T.StructField("h", T.LongType()), T.StructField("n", T.LongType()), T.StructField("at", T.IntegerType())]
-    cut_schema = T.StructType([*whole, T.StructField("t", T.StringType()), T.StructField("whole", T.BooleanType()), T.StructField("goes_on", T.BooleanType())])
     ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
-    # Equal rows are encoded once and repeated at the end.
-    long = rows.filter(is_long).groupBy("k", F.xxhash64("t").alias("h")).agg(F.any_value("t").alias("t"), F.count(F.lit(1)).alias("n"))
-    spread = long.mapInPandas(segments, cut_schema).repartition("k", "h", "at")
-    tokens = spread.mapInPandas(encoded, T.StructType([*whole, T.StructField("goes_on", T.BooleanType()), ids]))
-    back = tokens.groupBy("k", "h").applyInPandas(joined, T.StructType([k, T.StructField("n", T.LongType()), ids]))
-    back = back.select("k", "ids", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("k", "ids")
+    fields = [k, T.StructField("h", T.LongType()), T.StructField("n", T.LongType()), T.StructField("at", T.IntegerType()), ids]
+    fields += [T.StructField(name, t()) for name, t in (("head", T.StringType), ("n_head", T.IntegerType), ("tail", T.StringType), ("n_tail", T.IntegerType), ("solid", T.BooleanType))]
+    schema = T.StructType(fields)
+    if longest <= long_chars:
+        return short.select(F.col("k").alias(key), "ids")
+    level = blocks.repartition("k", "h", "at").mapInPandas(leaves, schema)
+    left = -(-longest // block_chars)
+    while left > 1:
+        level = level.withColumn("up", F.floor(F.col("at") / fan)).groupBy("k", "h", "up").applyInPandas(lambda pdf: joined(pdf.drop(columns="up")), schema)
+        left = -(-left // fan)
+    back = level.select("k", "ids", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("k", "ids")
     return short.unionByName(back).select(F.col("k").alias(key), "ids")
