@@ -9,10 +9,12 @@
    all pairs are compared in blocks by matrix products. Two vectors meet if they share one of their parts.
 5. The candidates of a vector's parts are merged and its best taken.
 
-Parts hold about ``part_rows`` vectors each. A part that turns out much larger gets a classifier of its own, fitted on a
-bounded sample of its vectors, again and again until every group that a task has to hold is small.
+Parts hold about ``part_rows`` vectors each. Parts that turn out much larger get classifiers of their own, fitted side by
+side on the cluster, each on a bounded sample of its part, level by level until every group that a task has to hold is
+small. Below the first level a vector goes to two parts, so the groups it is in grow slowly with the depth.
 
-Only samples reach the driver: at most ``sample_rows`` vectors a fit.
+At most ``sample_rows`` vectors of the first fit reach the driver, and the classifiers, as 16-bit floats: their size is
+checked against MODEL_BYTES before they are broadcast. The same path is taken at every size that allows two parts.
 """
 
 from __future__ import annotations
@@ -29,6 +31,11 @@ from linkloom.session import Scratch
 
 Model = tuple[np.ndarray, np.ndarray]
 
+#: The classifiers of all levels together, at most; 600 x 600 parts of 96 dimensions take 70 MB.
+MODEL_BYTES = 1 << 28
+#: Parts a vector goes to below the first level.
+DEEP_PROBES = 2
+
 
 def balanced(scores: np.ndarray, capacity: int) -> np.ndarray:
     """A column for every row, at most ``capacity`` rows a column: rows go to their best column that has room, the
@@ -118,8 +125,9 @@ def route(vectors: np.ndarray, models: dict[str, Model], probes: int) -> tuple[n
 
     def down(at: np.ndarray, name: str) -> None:
         w, b = models[name]
-        z = vectors[at] @ w + b
-        top = np.argpartition(-z, probes - 1, axis=1)[:, :probes] if probes < z.shape[1] else np.tile(np.arange(z.shape[1]), (len(at), 1))
+        z = vectors[at] @ w.astype(np.float32) + b.astype(np.float32)
+        take = probes if not name else min(probes, DEEP_PROBES)
+        top = np.argpartition(-z, take - 1, axis=1)[:, :take] if take < z.shape[1] else np.tile(np.arange(z.shape[1]), (len(at), 1))
         flat, who = top.ravel(), np.repeat(at, top.shape[1])
         order = np.argsort(flat, kind="stable")
         flat, who = flat[order], who[order]
@@ -184,7 +192,7 @@ def nearest(vectors: DataFrame, key: str, vector: str, *, dims: int, k: int = 5,
     """The k most similar others of every usable vector: ``id, other, cosine``, ties by the smaller id.
 
     Usable is a vector of ``dims`` finite numbers, not all zero. Repeated rows count once. Fewer than k others give fewer
-    rows; an empty table gives none. Up to ``4 * part_rows`` different vectors everything is compared with everything.
+    rows; an empty table gives none.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "nearest")
     sc = spark.sparkContext
@@ -198,22 +206,24 @@ def nearest(vectors: DataFrame, key: str, vector: str, *, dims: int, k: int = 5,
     n, copied, full = (watch.get.get(x) or 0 for x in ("n", "copied", "full"))
     single = alike.select("code", F.col("ids")[0].alias("rep"))
 
-    def sample(rows: DataFrame, total: int, want: int) -> np.ndarray:
-        share = max(1, total // max(1, want))
-        got = rows.filter(F.pmod(F.xxhash64("code", F.lit(3)), F.lit(share)) == 0).select("code").limit(2 * want).toPandas()["code"]
-        return _matrix([bytes(c) for c in got], dims)
-
     models: dict[str, Model] = {}
-    pending = {"": n} if n > 4 * part_rows else {}
-    while pending:
-        for name, size in pending.items():
-            rows = single if not name else _routed(sc, single, models, probes, dims).filter(F.col("part") == name)
-            parts = int(min(max_parts, max(2, size // part_rows)))
-            got = sample(rows, size, min(sample_rows, max(20 * parts, 10_000)))
-            if len(got) > parts:
-                models[name] = fit_router(got, min(parts, len(got) // 2))
+    if n > 2:
+        parts = int(min(max_parts, max(2, n // part_rows)))
+        share = max(1, n // min(sample_rows, max(20 * parts, 10_000)))
+        got = single.filter(F.pmod(F.xxhash64("code", F.lit(3)), F.lit(share)) == 0).select("code").limit(2 * sample_rows).toPandas()["code"]
+        got = _matrix([bytes(c) for c in got], dims)
+        if len(got) >= 4:
+            models[""] = _half(fit_router(got, min(parts, len(got) // 2)))
+    large: dict[str, int] = {}
+    while models:
         sizes = _routed(sc, single, models, probes, dims).groupBy("part").count().filter(F.col("count") > 25 * part_rows).collect()
-        pending = {r["part"]: r["count"] for r in sizes if r["part"] not in pending}
+        # A part that could not be fitted, as all its sample fell into one place, is not tried again.
+        large = {r["part"]: r["count"] for r in sizes if r["part"] not in large}
+        if not large:
+            break
+        models |= _fit_below(_routed(sc, single, models, probes, dims), large, dims, part_rows=part_rows, sample_rows=sample_rows, max_parts=max_parts)
+        if (size := sum(w.nbytes + b.nbytes for w, b in models.values())) > MODEL_BYTES:
+            raise ValueError(f"{size} bytes of classifiers are too many to broadcast; use larger parts")
 
     def compare(group: pa.Table) -> pa.Table:
         reps = group.column("rep").to_numpy()
@@ -235,6 +245,32 @@ def nearest(vectors: DataFrame, key: str, vector: str, *, dims: int, k: int = 5,
     return _with_copies(coded, alike, scratch.save(best), k, full)
 
 
+def _half(model: Model) -> Model:
+    return model[0].astype(np.float16), model[1].astype(np.float16)
+
+
+def _fit_below(routed: DataFrame, large: dict[str, int], dims: int, *, part_rows: int, sample_rows: int, max_parts: int) -> dict[str, Model]:
+    """A classifier for each of the parts, fitted on a hash sample of it; all in one pass over the routed vectors."""
+    spark = routed.sparkSession
+    plan = []
+    for name, size in large.items():
+        parts = int(min(max_parts, max(2, size // part_rows)))
+        plan.append((name, parts, max(1, size // min(sample_rows, max(20 * parts, 10_000)))))
+    wanted = F.broadcast(spark.createDataFrame(plan, "part string, parts int, share long"))
+    drawn = routed.join(wanted, "part").filter(F.pmod(F.xxhash64("code", F.lit(3)), F.col("share")) == 0)
+
+    def fit(group: pa.Table) -> pa.Table:
+        got = _matrix(group.column("code").to_pylist(), dims)
+        parts = min(group.column("parts")[0].as_py(), len(got) // 2)
+        if parts < 2:
+            return pa.table({"part": pa.array([], pa.string()), "w": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+        w, b = _half(fit_router(got, parts))
+        return pa.table({"part": [group.column("part")[0].as_py()], "w": [w.tobytes()], "b": [b.tobytes()]})
+
+    fitted = drawn.groupBy("part").applyInArrow(fit, "part string, w binary, b binary").collect()
+    return {r["part"]: (np.frombuffer(bytes(r["w"]), np.float16).reshape(dims, -1), np.frombuffer(bytes(r["b"]), np.float16)) for r in fitted}
+
+
 def _routed(sc, single: DataFrame, models: dict[str, Model], probes: int, dims: int) -> DataFrame:
     shared = sc.broadcast(models)
 

@@ -58,6 +58,31 @@ def test_oversized_part_is_split_again():
     assert np.bincount(part, minlength=7).max() <= 15
 
 
+def test_oversized_parts_are_fitted_in_one_pass_and_keep_the_recall(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(80, 16))
+    x = (centers[rng.integers(0, 80, 3000)] + 0.3 * rng.normal(size=(3000, 16))).astype(np.float32)
+    fitted = []
+    below = neighbors._fit_below
+    monkeypatch.setattr(neighbors, "_fit_below", lambda *a, **kw: fitted.append(below(*a, **kw)) or fitted[-1])
+    near = neighbors.nearest(frame(spark, list(range(3000)), x), "vec_id", "vector", dims=16, k=5, part_rows=20, probes=3, max_parts=4)
+    got = {(r["a"], r["b"]) for r in neighbors.neighbour_pairs(near).collect()}
+    want = {(min(i, int(o)), max(i, int(o))) for i, w in exact(np.arange(3000), x.astype(float), 5).items() for o in w}
+    assert fitted and len(fitted[0]) >= 2 and all(name.startswith("/") for name in fitted[0])
+    assert len(got & want) / len(want) > 0.9
+
+
+def test_small_tables_take_the_same_path(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x, seen = rng.normal(size=(300, 8)), []
+    fit = neighbors.fit_router
+    monkeypatch.setattr(neighbors, "fit_router", lambda v, parts, **kw: seen.append(parts) or fit(v, parts, **kw))
+    near = neighbors.nearest(frame(spark, list(range(300)), x), "vec_id", "vector", dims=8, k=5, part_rows=50)
+    got = {(r["a"], r["b"]) for r in neighbors.neighbour_pairs(near).collect()}
+    want = {(min(i, int(o)), max(i, int(o))) for i, w in exact(np.arange(300), x.astype(np.float16).astype(float), 5).items() for o in w}
+    assert seen == [6] and len(got & want) / len(want) > 0.8
+
+
 def test_few_and_none(spark):
     assert result(frame(spark, [], []), dims=4) == {}
     assert result(frame(spark, [7], [[1, 0, 0, 0]]), dims=4) == {}
