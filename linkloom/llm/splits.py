@@ -25,15 +25,16 @@ def known(column: Column | str, stand_ins: tuple[str, ...] = STAND_INS) -> Colum
     return F.when(~c.isin(*stand_ins) & c.rlike(r"[\p{L}\p{N}]"), c)
 
 
-def related_blocks(records: DataFrame, key: str, entities: list[str]) -> DataFrame:
+def related_blocks(records: DataFrame, key: str, entities: list[str], *, stand_ins: tuple[str, ...] = STAND_INS) -> DataFrame:
     """Blocks of records that share a known entity directly or through others: ``key, block_id``.
 
     key: a unique integer column; rows with a null key are left out. block_id is the smallest key of the block. A record
     that shares nothing is a block of its own. Equal values in different entity columns are different entities.
+    A value among stand_ins (in comparison form), or without any letter or digit, is shared by nobody.
     """
     spark, scratch = records.sparkSession, Scratch(records.sparkSession, "blocks")
     named = F.array(*[F.when(F.col(c).isNotNull(), F.concat_ws("\x01", F.lit(c), F.col(c))) for c in entities])
-    rows = records.select(F.col(key).cast("long").alias("r"), *[known(c).alias(c) for c in entities]).filter("r is not null")
+    rows = records.select(F.col(key).cast("long").alias("r"), *[known(c, stand_ins).alias(c) for c in entities]).filter("r is not null")
     rows = scratch.save(rows.select("r", F.array_compact(named).alias("named")))
     links = rows.select("r", F.explode("named").alias("e")).distinct()
     shared = links.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("l")).filter("n > 1")
@@ -61,7 +62,7 @@ def related_blocks(records: DataFrame, key: str, entities: list[str]) -> DataFra
 
 #: Blocks of at least this share of the rows are placed one after another; there are at most 1 / HEAVY of them.
 HEAVY = 0.001
-#: Labels are hashed into at most so many strata.
+#: The commonest labels are a stratum each, all others share the last one.
 STRATA = 64
 #: Slices of the hash order in which the rows of one stratum are summed up side by side.
 SLICES = 256
@@ -73,13 +74,18 @@ def assign_parts(blocks: DataFrame, key: str, label: str, proportions: dict[str,
     Blocks of at least a thousandth of the rows (at most a thousand of them, with at most STRATA counts each) are placed
     greedily, the largest first, where they leave the smallest squared deviation from the wanted rows of part and
     stratum. All others go by their commonest stratum: in a hash order, each takes the part on whose share of the
-    still missing rows the middle of its rows falls. Null labels are a stratum of their own.
+    still missing rows the middle of its rows falls. Strata are labels, null among them; those after the STRATA - 1
+    commonest share one.
     """
     parts = list(proportions)
     whole = sum(proportions.values())
     share = [proportions[p] / whole for p in parts]
     scratch = Scratch(blocks.sparkSession, "parts")
-    rows = blocks.select(F.col(key).alias("k"), "block_id", F.pmod(F.xxhash64(F.col(label)), F.lit(STRATA)).cast("int").alias("s"))
+    named = blocks.select(F.col(key).alias("k"), "block_id", F.col(label).cast("string").alias("label"))
+    common = [r["label"] for r in named.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(STRATA - 1).collect()]
+    strata = blocks.sparkSession.createDataFrame(list(enumerate(common)), "s int, known string")
+    rows = named.join(F.broadcast(strata), F.col("label").eqNullSafe(F.col("known")), "left")
+    rows = scratch.save(rows.select("k", "block_id", F.coalesce("s", F.lit(STRATA - 1)).alias("s")))
     counts = scratch.save(rows.groupBy("block_id", "s").agg(F.count(F.lit(1)).alias("n")))
     wanted = {r["s"]: r["n"] for r in counts.groupBy("s").agg(F.sum("n").alias("n")).collect()}
     total = sum(wanted.values())

@@ -91,3 +91,20 @@ def test_parts_keep_blocks_whole_and_proportions(spark):
         for kind in ("old", "new", None):
             n = sum(k == kind for k in kinds.values())
             assert abs(sum(r["part"] == p and kinds[r["vec_id"]] == kind for r in out) / n - share) < 0.06
+
+
+def test_stand_ins_are_a_parameter(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "x"), (3, " Mu "), (4, "mu"), (5, "--"), (6, "--")], "k long, e string")
+    blocks = lambda **kw: {r["k"]: r["block_id"] for r in splits.related_blocks(df, "k", ["e"], **kw).collect()}
+    assert blocks() == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6}
+    assert blocks(stand_ins=("mu",)) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
+
+
+def test_labels_and_not_their_hashes_are_balanced(spark):
+    rows = [(k, k // 2, f"label{k % 40}" if k % 41 else None) for k in range(16_000)]
+    parts = splits.assign_parts(spark.createDataFrame(rows, "k long, block_id long, label string"), "k", "label", {"a": 0.75, "b": 0.25}).collect()
+    of = {r["k"]: r["part"] for r in parts}
+    assert len(of) == len(parts) == len(rows) and all(of[2 * k] == of[2 * k + 1] for k in range(8_000))
+    for x in {r[2] for r in rows}:
+        mine = [of[k] for k, _, label in rows if label == x]
+        assert abs(mine.count("a") / len(mine) - 0.75) < 0.06
