@@ -34,20 +34,22 @@ def _checksum(*cols: str):
     return [F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("s")]
 
 
-def group_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
+def group_pairs(pairs: DataFrame, a: str, b: str, *, thin_level: float = THIN_LEVEL) -> DataFrame:
     """Group of every paired item: ``item, group`` with the smallest item of the group as its name.
 
     Null ends name nothing and an item paired with itself makes no link; repeated and reversed pairs count once. Further
-    columns are ignored. No pairs give an empty result.
+    columns are ignored. No pairs give an empty result. thin_level only says when the search hands over.
     """
     spark, scratch = pairs.sparkSession, Scratch(pairs.sparkSession, "groups")
     ends = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a != b")
     edges = scratch.save(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-    top = _both_ways(edges).groupBy("u").count().orderBy(F.desc("count"), "u").head()
+    both = scratch.save(_both_ways(edges))
+    top = both.groupBy("u").count().orderBy(F.desc("count"), "u").head()
     if top is None:
         return edges.select(F.col("u").alias("item"), F.col("v").alias("group"))
 
-    visited = _peel(scratch, edges, top["u"])
+    visited = _peel(scratch, both, top["u"], thin_level)
+    scratch.drop(both)
     name = visited.agg(F.min("u")).head()[0]
     seen_u, seen_v = visited.select("u", F.lit(True).alias("in_u")), visited.select(F.col("u").alias("v"), F.lit(True).alias("in_v"))
     rest = edges.join(seen_u, "u", "left").join(seen_v, "v", "left").filter("in_u is null or in_v is null")
@@ -62,20 +64,21 @@ def group_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return leaves.unionAll(heads).unionAll(visited.select(F.col("u").alias("item"), F.lit(giant).alias("group")))
 
 
-def _peel(scratch: Scratch, edges: DataFrame, start: str) -> DataFrame:
-    """Vertices reached from the start, level by level, until the search is done or a level is thin."""
-    both = _both_ways(edges)
+def _peel(scratch: Scratch, both: DataFrame, start: str, thin_level: float) -> DataFrame:
+    """Vertices reached from the start, level by level, until the search is done or a level is thin.
+
+    A neighbour of a level lies in it, in the one before or in the next, so only these two are joined away."""
     frontier = scratch.save(scratch.spark.createDataFrame([(start,)], "u string"))
     levels, total = [frontier], 1
     while True:
         near = both.join(frontier, "u").select(F.col("v").alias("u")).distinct()
         watch = Observation()
-        fresh = near.join(scratch.together(*levels), "u", "left_anti")
+        fresh = near.join(scratch.together(*levels[-2:]), "u", "left_anti")
         frontier = scratch.save(fresh.observe(watch, F.count(F.lit(1)).alias("n")))
         n = watch.get.get("n") or 0
         levels.append(frontier)
         total += n
-        if n <= THIN_LEVEL * total:
+        if n <= thin_level * total:
             return scratch.together(*levels)
 
 
