@@ -64,10 +64,12 @@ _OPENS = re.compile(r"[.!?,;:*\"“]\W*$")
 #: Trusted wordings of error messages and script notices, and of filler. Neither list is meant to be complete.
 SEED_MESSAGES = (
     r"\b(?:enable|allow) (?:javascript|scripts)\b|\bbrowser does(?: not|n't) support\b|(?:^|\n)[^\w\n]*(?:http|error|错误码?) ?\d{3}\b|\bpage (?:not found|cannot be displayed)\b|\bbad gateway\b|\baccess denied\b|\btry again later\b"
-    r"|\btemporarily unavailable\b|\btimed out after\b|\btraceback \(most recent|\bhas been (?:moved or )?deleted\b|启用脚本|脚本被禁用|页面不存在|系统繁忙|请求超时|已被删除"
+    r"|\btemporarily unavailable\b|\btimed out after\b|\btraceback \(most recent|\bhas been (?:moved or )?deleted\b|(?:^|\n)[^\w\n]*oops\b|\brequest blocked\b|启用脚本|(?:开启|启用)[^。\n]{0,8}(?:javascript|js)|不支持脚本|脚本被禁用|页面不存在|系统繁忙|请求超时|访问过于频繁|登录已过期|已被删除"
 )
 SEED_FILLER = r"\blorem ipsum\b|\byour text (?:goes )?here\b|(?:^|\n)[^\w\n]*(?:todo|tbd|coming soon)\b|\bthis is a placeholder\b|\bexample description\b|\basdf\b|\bxxx+\b|占位文字|示例文字|此处填写|待补充|敬请期待"
 _MESSAGES, _FILLER = re.compile(SEED_MESSAGES, re.I), re.compile(SEED_FILLER, re.I)
+#: Every seed holds one of these, in lower case: a cheap test before the pattern in the scan for the samples, not in scoring.
+SEED_HINTS = ("{{", "${", "%(", "[insert", "script", "js", "browser", "http", "error", "错误", "page", "gateway", "denied", "later", "unavailable", "timed out", "traceback", "deleted", "oops", "blocked", "脚本", "页面", "繁忙", "超时", "频繁", "过期", "删除", "ipsum", "your text", "todo", "tbd", "coming", "placeholder", "description", "asdf", "xxx", "文字", "填写", "补充", "期待")
 #: The same for the scan that gathers the records to start from.
 SEEDS = rf"(?i){SEED_SLOTS.replace('(?i:insert)', 'insert')}|{SEED_MESSAGES}|{SEED_FILLER}"
 
@@ -337,7 +339,9 @@ def samples(rows: DataFrame, sample_docs: int) -> tuple[list[str], list[str]]:
     sought, drawn = max(1, total // (sample_docs * SEEK)), max(1, -(-total // sample_docs))
     h = F.xxhash64("t", F.lit(11))
     picked = rows.select("t", h.alias("h")).filter(F.pmod("h", F.lit(sought)) == 0)
-    picked = picked.withColumn("drawn", F.pmod(F.xxhash64("h"), F.lit(-(-drawn // sought))) == 0).withColumn("seeded", F.col("t").rlike(SEEDS))
+    picked = picked.withColumn("drawn", F.pmod(F.xxhash64("h"), F.lit(-(-drawn // sought))) == 0).withColumn("low", F.lower("t"))
+    hinted = functools.reduce(lambda a, b: a | b, [F.contains("low", F.lit(x)) for x in SEED_HINTS])
+    picked = picked.withColumn("seeded", hinted & F.col("t").rlike(SEEDS)).drop("low")
     # Copies of one text collapse before the shuffle, whatever their number.
     texts = picked.filter("drawn or seeded").groupBy("h").agg(F.any_value("t").alias("t"), F.any_value("drawn").alias("drawn"), F.any_value("seeded").alias("seeded"))
     got = sorted((r["h"], r["t"], r["drawn"], r["seeded"]) for r in texts.collect())

@@ -130,6 +130,11 @@ def test_seeds_for_the_scan_are_the_seeds_of_the_passages(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     found = {r["t"] for r in df.filter(df["t"].rlike(R.SEEDS)).collect()}
     assert {t for t in texts if any(R.trusted(p) for p in R.passages(t))} <= found
+    assert all(any(h in t.lower() for h in R.SEED_HINTS) for t in found)
+    # One text for every seed: optional and repeated parts spelled out by hand.
+    spelled = "enable javascript|allow scripts|browser does not support|browser doesn't support|http 503|error 500|错误 404|错误码 500|page not found|page cannot be displayed|bad gateway|access denied|try again later|temporarily unavailable|timed out after|traceback (most recent|has been moved or deleted|oops|request blocked|启用脚本|开启浏览器的 javascript|启用 js|不支持脚本|脚本被禁用|页面不存在|系统繁忙|请求超时|访问过于频繁|登录已过期|已被删除|lorem ipsum|your text goes here|your text here|todo|tbd|coming soon|this is a placeholder|example description|asdf|xxx|占位文字|示例文字|此处填写|待补充|敬请期待|{{x}}|${x}|%(x)s|[insert x]"
+    for t in spelled.split("|"):
+        assert any(R.trusted(p) for p in R.passages(t)) and any(h in t for h in R.SEED_HINTS), t
 
 
 def test_samples_are_bounded_and_hold_copies_once(spark):
