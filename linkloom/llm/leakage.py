@@ -42,7 +42,7 @@ FINE_LATIN, FINE_HAN = 7, 3
 PASSAGE, STRIDE = 256, 128
 #: A passage is looked at if its BM25 weight in an item is SLACK of that of the item's lightest stretch that would count,
 #: or that of so many average terms if this is less.
-LEAST_TERMS, SLACK = 20, 0.5
+LEAST_TERMS, SLACK = 30, 0.35
 #: Items of fewer letters, a Han character for three, are indexed by the short grams as well.
 SHORT_ITEM = 120
 #: The part of an aligned stretch that must match letter by letter.
