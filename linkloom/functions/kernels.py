@@ -53,6 +53,75 @@ def center_distance(a: str, b: str) -> Column:
     return F.hypot(mid(a, "x") - mid(b, "x"), mid(a, "y") - mid(b, "y"))
 
 
+def iou_plain(a: str, b: str) -> Column:
+    """Intersection over union with areas as products of signed sides, 0 where the union isn't positive."""
+
+    def plain(box: str) -> Column:
+        return (F.col(f"{box}.x2") - F.col(f"{box}.x1")) * (F.col(f"{box}.y2") - F.col(f"{box}.y1"))
+
+    w, h = _sides(a, b)
+    union = plain(a) + plain(b) - w * h
+    return F.when(union > 0, w * h / union).otherwise(0.0)
+
+
+def diagonal(width: float, height: float) -> float:
+    return math.hypot(width, height)
+
+
+def center_distance_relative(a: str, b: str) -> Column:
+    """Centre distance over the longer diagonal of the two boxes, at least 1."""
+
+    def diag(box: str) -> Column:
+        return F.hypot(F.col(f"{box}.x2") - F.col(f"{box}.x1"), F.col(f"{box}.y2") - F.col(f"{box}.y1"))
+
+    return center_distance(a, b) / F.greatest(F.lit(1.0), diag(a), diag(b))
+
+
+def polygon_box(points: Column) -> Column:
+    """The box around an array of points x, y; nulls for an empty one."""
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    return F.struct(F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2"))
+
+
+def tiles(width: Column, height: Column, n: int, overlap: float) -> Column:
+    """n times n tiles ``row, col, x1, y1, x2, y2`` that overlap by a share of their side, rounded half to even."""
+
+    def edges(size: Column, k: int) -> tuple[Column, Column]:
+        side = size / (n - (n - 1) * overlap)
+        start = side * (1 - overlap) * k
+        return F.bround(start, 0), F.bround(F.least(size, start + side), 0)
+
+    out = []
+    for row in range(n):
+        for col in range(n):
+            (x1, x2), (y1, y2) = edges(width, col), edges(height, row)
+            out.append(F.struct(F.lit(row).alias("row"), F.lit(col).alias("col"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")))
+    return F.array(*out)
+
+
+def semantic_tier(tiers: list[tuple[Column, Column, float]], rest: float) -> Column:
+    """The value of the first pair of columns that are equal, both known; the rest's otherwise."""
+    out = F.lit(rest)
+    for a, b, value in reversed(tiers):
+        out = F.when(a == b, value).otherwise(out)
+    return out
+
+
+def first_uncertain(facts: list[tuple[str, Column, Column]]) -> tuple[Column, Column, Column]:
+    """Status, deciding fact and confidence of ordered facts ``name, truth, confidence``: the first unknown one asks
+    (NEEDS_USER), the first false one rules out (NOT_APPLICABLE), whichever comes first; all true trigger. Confidence is
+    the smallest, 0 while a fact is unknown."""
+    status, by = F.lit("TRIGGERED"), F.lit(None).cast("string")
+    for name, truth, _ in reversed(facts):
+        status = F.when(truth.isNull(), "NEEDS_USER").when(~truth, "NOT_APPLICABLE").otherwise(status)
+        by = F.when(truth.isNull() | ~truth, F.lit(name)).otherwise(by)
+    known = F.least(*[c for _, _, c in facts])
+    any_unknown = F.lit(False)
+    for _, truth, _ in facts:
+        any_unknown = any_unknown | truth.isNull()
+    return status, by, F.when(any_unknown, 0.0).otherwise(known)
+
+
 def label_form(c: Column) -> Column:
     """Lower case; everything but ASCII letters and digits is one blank."""
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))

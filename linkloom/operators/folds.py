@@ -105,23 +105,105 @@ def match_most(edges: list[tuple], order: Iterable[int] | None = None) -> dict:
     return held
 
 
+def match_frames(truth: DataFrame, found: DataFrame, frame: list[str], label: str, threshold: float) -> DataFrame:
+    """Matchings of the most boxes per frame and label: ``<frame>, <label>, truth_id, found_id, iou``, both sides kept.
+
+    Both: ``<frame>, <label>, id, x1..y2``. Boxes overlapping by the threshold or more may match, tried from the largest
+    overlap on, then by ids; a box without a match has a null partner.
+    """
+    keys = [*frame, label]
+    rows = truth.select(*keys, "id", *BOX, F.lit(True).alias("real")).unionByName(found.select(*keys, "id", *BOX, F.lit(False).alias("real")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for key, part in pdf.groupby(keys, dropna=False):
+            t, f = part[part["real"]].sort_values("id"), part[~part["real"]].sort_values("id")
+            over = iou_matrix(t[BOX].to_numpy(float), f[BOX].to_numpy(float))
+            ids, others = t["id"].tolist(), f["id"].tolist()
+            near = sorted((-over[i, j], i, j) for i, j in zip(*np.nonzero(over >= threshold), strict=True))
+            chosen = match_most([(i, j) for _, i, j in near])
+            out += [(*key, ids[i], others[j], over[i, j]) for i, j in chosen.items()]
+            out += [(*key, x, None, None) for i, x in enumerate(ids) if i not in chosen]
+            out += [(*key, None, y, None) for j, y in enumerate(others) if j not in set(chosen.values())]
+        return pd.DataFrame(out, columns=[*keys, "truth_id", "found_id", "iou"])
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    kind = rows.schema["id"].dataType.simpleString()
+    return in_buckets(rows, keys).groupBy("_bucket").applyInPandas(lambda pdf: run(pdf.drop(columns="_bucket")), f"{kinds}, truth_id {kind}, found_id {kind}, iou double")
+
+
+def spaced_best(rows: DataFrame, group: list[str], order: str, score: str, *, share: float, gap: float, most: int) -> DataFrame:
+    """Of every group the lowest-scored share, then greedily from the lowest score on, ties by order, those at least gap
+    away from all kept ones, at most ``most``."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keep = []
+        for _, part in pdf.drop(columns="_bucket").groupby(group, dropna=False):
+            part = part.sort_values([score, order]).head(int(np.ceil(len(part) * share)))
+            at: list[float] = []
+            for row, x in zip(part.index, part[order], strict=True):
+                if len(at) < most and all(abs(x - y) >= gap for y in at):
+                    at.append(x)
+                    keep.append(row)
+        return pdf.loc[sorted(keep)].drop(columns="_bucket")
+
+    return in_buckets(rows, group).groupBy("_bucket").applyInPandas(run, rows.schema)
+
+
+def cluster_boxes(boxes: DataFrame, group: list[str], threshold: float) -> DataFrame:
+    """Boxes with the ``cluster`` they join, in order of id: the one with the member they overlap most, by the threshold
+    at least, else a new one; clusters are numbered within the group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop(columns="_bucket").sort_values([*group, "id"]).reset_index(drop=True)
+        cluster = np.zeros(len(pdf), np.int64)
+        for rows in pdf.groupby(group, dropna=False).indices.values():
+            over = iou_matrix(*[pdf.loc[rows, BOX].to_numpy(float)] * 2)
+            fresh = 0
+            for k in range(len(rows)):
+                best = int(over[k, :k].argmax()) if k else -1
+                if k and over[k, best] >= threshold:
+                    cluster[rows[k]] = cluster[rows[best]]
+                else:
+                    cluster[rows[k]], fresh = fresh, fresh + 1
+        return pdf.assign(cluster=cluster)
+
+    from pyspark.sql import types as T
+
+    return in_buckets(boxes, group).groupBy("_bucket").applyInPandas(run, T.StructType([*boxes.schema.fields, T.StructField("cluster", T.LongType())]))
+
+
+def pack_first_fit(sizes: list[tuple[str, int]], capacity: int, apart: set[frozenset] = frozenset()) -> list[list[str]]:
+    """Names in packs: each goes to the first pack with room that holds nothing it must stay apart from."""
+    packs: list[tuple[list[str], int]] = []
+    for name, size in sizes:
+        for k, (held, used) in enumerate(packs):
+            if used + size <= capacity and not any(frozenset((name, x)) in apart for x in held):
+                packs[k] = ([*held, name], used + size)
+                break
+        else:
+            packs.append(([name], size))
+    return [held for held, _ in packs]
+
+
 # --- constrained union ------------------------------------------------------------------------------------------------
 
 
-def constrained_union(edges: list[tuple], side: dict, cannot: set[tuple] = frozenset()) -> tuple[dict, list[bool]]:
+def constrained_union(edges: list[tuple], side: dict, cannot: set[tuple] = frozenset(), must: list[tuple] = ()) -> tuple[dict, list[bool]]:
     """Unite the ends of (a, b) in the given order if no side occurs twice and no forbidden pair meets.
 
+    A node's side is one value or a set of them. Pairs in ``must`` are united first; an error if that is not allowed.
     Returns the smallest member of every node's cluster and, for each edge, whether it holds inside one cluster.
     """
     head = {x: x for x in side}
     members = {x: [x] for x in side}
-    sides = {x: {side[x]} for x in side}
+    sides = {x: set(side[x]) if isinstance(side[x], set | frozenset) else {side[x]} for x in side}
     foes: dict = defaultdict(set)
     for a, b in cannot:
         foes[a].add(b)
         foes[b].add(a)
     held = []
-    for a, b in edges:
+    for n, (a, b) in enumerate([*must, *edges]):
         p, q = head[a], head[b]
         if p == q:
             held.append(True)
@@ -129,13 +211,15 @@ def constrained_union(edges: list[tuple], side: dict, cannot: set[tuple] = froze
         small, large = (p, q) if len(members[p]) <= len(members[q]) else (q, p)
         clash = sides[p] & sides[q] or any(y in foes[x] for x in members[small] if foes[x] for y in members[large])
         held.append(not clash)
+        if clash and n < len(must):
+            raise ValueError(f"{a} and {b} must be one, but what is united already forbids it")
         if clash:
             continue
         members[large] += members.pop(small)
         sides[large] |= sides.pop(small)
         for x in members[large]:
             head[x] = large
-    return {x: min(members[h]) for x, h in head.items()}, held
+    return {x: min(members[h]) for x, h in head.items()}, held[len(must) :]
 
 
 # --- boxes ------------------------------------------------------------------------------------------------------------

@@ -178,3 +178,24 @@ def quantile_transplant(df: DataFrame, group: list[str], base: str, new: str, ke
     ranked = df.withColumn("_i", F.row_number().over(by_new)).withColumn("_j", F.row_number().over(by_base))
     values = ranked.select(*group, F.col("_j").alias("_i"), F.col(base).alias(out))
     return ranked.join(values, [*group, "_i"]).drop("_i", "_j")
+
+
+def blend(total: Column, old: Column, new: Column, weight: float, denominator: Column) -> Column:
+    """The total with one of its weighted terms replaced; a null new term keeps it."""
+    return F.coalesce(total + weight * (new - old) / denominator, total)
+
+
+def reconcile(rows: DataFrame, key: str, tiers: list[tuple[DataFrame, Column, float]]) -> DataFrame:
+    """``key, status, target, confidence`` by several vocabularies ``k, target`` with the column of the rows that must
+    equal k. All hits count: one distinct target is mapped with the best confidence, several are a conflict with 0, none
+    is unmapped. Vocabulary rows are first reduced to the distinct targets of a key, at most two of which are told apart.
+    """
+    hits = None
+    for terms, column, confidence in tiers:
+        known = terms.groupBy(F.col("k").alias("_k")).agg(F.min("target").alias("lo"), F.max("target").alias("hi"))
+        one = rows.select(F.col(key).alias("_key"), column.alias("_k")).join(known, "_k").select("_key", "lo", "hi", F.lit(confidence).alias("c"))
+        hits = one if hits is None else hits.unionAll(one)
+    best = hits.groupBy("_key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("c").alias("c"))
+    clear = F.col("lo") == F.col("hi")
+    status = F.when(F.col("c").isNull(), "unmapped").when(clear, "mapped").otherwise("conflict")
+    return rows.select(key).join(best, F.col(key) == F.col("_key"), "left").select(key, status.alias("status"), F.when(clear, F.col("lo")).alias("target"), F.when(clear, F.col("c")).otherwise(0.0).alias("confidence"))

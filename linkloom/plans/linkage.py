@@ -17,9 +17,17 @@ from linkloom.sources.tables import table
 QUERIES: dict = {}
 
 
-def query(f):
-    QUERIES[f.__name__] = f
-    return f
+def query_into(queries: dict):
+    """A decorator that registers a query under its name."""
+
+    def register(f):
+        queries[f.__name__] = f
+        return f
+
+    return register
+
+
+query = query_into(QUERIES)
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:

@@ -1,11 +1,11 @@
 import pytest
 
 import __spark_entry__ as entry
-from linkloom.plans import linkage, linkage_sql, problems, problems_sql
+from linkloom.plans import evidence, evidence_sql, linkage, linkage_sql, problems, problems_sql
 from tests.oracle import agree
 
-CORE = {**linkage.QUERIES, **problems.QUERIES}
-SQL = {**linkage_sql.SQL, **problems_sql.SQL}
+CORE = {**linkage.QUERIES, **evidence.QUERIES, **problems.QUERIES}
+SQL = {**linkage_sql.SQL, **evidence_sql.SQL, **problems_sql.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
