@@ -6,6 +6,7 @@ with the table; the wrappers take the grouping columns and leave the order to a
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterable
 
@@ -58,21 +59,81 @@ def assign_max(scores: np.ndarray, floor: float) -> list[int]:
     return out
 
 
+def assign_sparse(near: list[dict[int, float]], floor: float) -> list[int]:
+    """The same for rows that score few columns each: near[i] has the scores of row i by column. Memory follows the number
+    of scores; a column or -1 for every row."""
+    n = len(near)
+    width = 1 + max((c for x in near for c in x), default=-1)
+    u, v, row_of = [0.0] * n, defaultdict(float), {}
+    for start in range(n):
+        reach: dict[int, float] = {}
+        prev: dict[int, int] = {}
+        done: set[int] = set()
+        heap: list[tuple[float, int]] = []
+        row, base, last = start, 0.0, -1
+        while True:
+            for col, score in (*near[row].items(), (width + row, floor)):  # a place of its own for a row that stays alone
+                step = base - score - u[row] - v[col]
+                if col not in done and step < reach.get(col, np.inf):
+                    reach[col], prev[col] = step, last
+                    heapq.heappush(heap, (step, col))
+            while heap[0][1] in done or heap[0][0] > reach[heap[0][1]]:
+                heapq.heappop(heap)
+            base, last = heapq.heappop(heap)
+            done.add(last)
+            if last not in row_of:
+                break
+            row = row_of[last]
+        u[start] += base
+        for col in done - {last}:
+            u[row_of[col]] += base - reach[col]
+            v[col] -= base - reach[col]
+        while last >= 0:
+            before = prev[last]
+            row_of[last] = start if before < 0 else row_of[before]
+            last = before
+    out = [-1] * n
+    for col, row in row_of.items():
+        if col < width:
+            out[row] = col
+    return out
+
+
 def assign_pairs(pairs: DataFrame, group: list[str], floor: float) -> DataFrame:
-    """One-to-one pairs of the largest total score per group: ``<group>, a, b, score``; pairs at or below the floor lose."""
+    """One-to-one pairs of the largest total score per group: ``<group>, a, b, score``; pairs at or below the floor lose.
+
+    Where the pairs have a true ``locked``, these stand and only what they leave is assigned; of several locked pairs of
+    one end the best stands. Pairs with a null end or score take no part; of repeated pairs the best score counts.
+    """
+    has_lock = "locked" in pairs.columns
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = sorted(pdf["a"].unique()), sorted(pdf["b"].unique())
+        pdf = pdf.sort_values(["locked", "score", "a", "b"], ascending=[False, False, True, True]).drop_duplicates(["a", "b"])
+        used_a, used_b, keep = set(), set(), set()
+        for a, b in pdf.loc[pdf["locked"], ["a", "b"]].itertuples(index=False):
+            if a not in used_a and b not in used_b:
+                used_a.add(a)
+                used_b.add(b)
+                keep.add((a, b))
+        rest = pdf[~pdf["a"].isin(used_a) & ~pdf["b"].isin(used_b) & (pdf["score"] > floor)]
+        left, right = sorted(rest["a"].unique()), sorted(rest["b"].unique())
         at_l, at_r = {x: i for i, x in enumerate(left)}, {x: i for i, x in enumerate(right)}
-        scores = np.full((len(left), len(right)), -np.inf)
-        for a, b, s in zip(pdf["a"], pdf["b"], pdf["score"], strict=True):
-            scores[at_l[a], at_r[b]] = s
-        chosen = {(left[i], right[j]) for i, j in enumerate(assign_max(scores, floor)) if j >= 0 and scores[i, j] > floor}
-        keep = [(a, b) in chosen for a, b in zip(pdf["a"], pdf["b"], strict=True)]
-        return pdf.loc[keep, [*group, "a", "b", "score"]].drop_duplicates([*group, "a", "b"])
-
-    kept = pairs.select(*group, "a", "b", "score")
-    return kept.groupBy(*group).applyInPandas(solve, kept.schema)
+        near: list[dict[int, float]] = [{} for _ in left]
+        for a, b, s in zip(rest["a"], rest["b"], rest["score"], strict=True):
+            near[at_l[a]][at_r[b]] = float(s)
+        keep |= {(left[i], right[j]) for i, j in enumerate(assign_sparse(near, floor)) if j >= 0}
+        return pdf.loc[[x in keep for x in zip(pdf["a"], pdf["b"], strict=True)], [*group, "a", "b", "score"]]
+
+    kept = pairs.select(*group, "a", "b", "score", F.coalesce(F.col("locked"), F.lit(False)).alias("locked") if has_lock else F.lit(False).alias("locked")).filter("a is not null and b is not null and score is not null")
+    return kept.groupBy(*group).applyInPandas(solve, kept.drop("locked").schema)
+
+
+def lock_baseline(pairs: DataFrame, baseline: DataFrame, *, match: float, margin: float) -> DataFrame:
+    """The pairs with ``locked``: those that the baseline assigned with at least this score and margin.
+
+    pairs: ``a, b, ...``; baseline: ``a, b, score, margin`` of the assignment before a rerank."""
+    sure = baseline.filter((F.col("score") >= match) & (F.col("margin") >= margin)).select("a", "b", F.lit(True).alias("locked")).distinct()
+    return pairs.join(sure, ["a", "b"], "left").withColumn("locked", F.coalesce("locked", F.lit(False)))
 
 
 def match_most(edges: list[tuple], order: Iterable[int] | None = None) -> dict:

@@ -98,3 +98,24 @@ def entity_states(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
 def best_views(views: DataFrame, track: str, order: list[Column], k: int) -> DataFrame:
     """The first k views of every track; the rank is cut before the shuffle."""
     return views.withColumn("_rn", F.row_number().over(Window.partitionBy(track).orderBy(*order))).filter(F.col("_rn") <= k).drop("_rn")
+
+
+def close_cycles(members: DataFrame, links: DataFrame, *, new: float, match: float) -> DataFrame:
+    """Single members that complete a pair from two other sides: ``entity, single, bottleneck``, one round, no cascade.
+
+    members: ``id, side, entity``; links: ``a, b, score, assigned, top``, one row a pair. Both links to the pair must score above
+    ``new``; both are assigned, or one is and the other reaches ``match`` and is the best of both its ends (``top``).
+    Accepted is what is the best on both sides by the weaker link, ties by the smaller id.
+    """
+    size = members.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.collect_set("side").alias("sides"))
+    seeds = size.filter((F.col("n") == 2) & (F.size("sides") == 2)).select("entity", "sides")
+    pair = members.join(seeds, "entity").select(F.col("id").alias("m"), "entity", "sides")
+    alone = members.join(size.filter("n = 1").select("entity"), "entity").select(F.col("id").alias("single"), F.col("side").alias("single_side"))
+    both = links.select(F.col("a").alias("single"), F.col("b").alias("m"), "score", "assigned", "top").unionAll(links.select("b", "a", "score", "assigned", "top"))
+    spokes = both.join(pair, "m").join(alone, "single").filter(~F.array_contains("sides", F.col("single_side")) & (F.col("score") > new))
+    sure = F.col("assigned") | ((F.col("score") >= match) & F.col("top"))
+    per = spokes.groupBy("entity", "single").agg(F.count(F.lit(1)).alias("n"), F.count_if("assigned").alias("assigned"), F.count_if(sure).alias("sure"), F.min("score").alias("bottleneck"))
+    fit = per.filter("n = 2 and sure = 2 and assigned >= 1")
+    one = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("bottleneck"), "single"))
+    other = F.row_number().over(Window.partitionBy("single").orderBy(F.desc("bottleneck"), "entity"))
+    return fit.withColumn("i", one).withColumn("j", other).filter("i = 1 and j = 1").select("entity", "single", "bottleneck")

@@ -101,6 +101,36 @@ def entity_states(spark, d):
     return s.select("entity", "n_members", "state", F.round("confidence", 6).alias("confidence"))
 
 
+@query
+def cycle_closures(spark, d):
+    """Vectors of the third clip that complete a mutual best pair of the first two."""
+    scratch = Scratch(spark, "cycles")
+    links = scratch.save(pairs.symmetric_union(_recalled(spark, d)))
+    top = scratch.save(pairs.bidirectional_top1(_recalled(spark, d, 1)).select("a", "b", F.lit(True).alias("t")))
+    vecs = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 3).cast("int").alias("side"))
+    first = top.filter("a % 3 < 2 and b % 3 < 2")
+    heads = first.select(F.explode(F.array("a", "b")).alias("id"), F.col("a").alias("head"))
+    members = vecs.join(heads, "id", "left").select("id", "side", F.coalesce("head", "id").alias("entity"))
+    marked = links.join(top, ["a", "b"], "left").select("a", "b", "score", F.coalesce("t", F.lit(False)).alias("top"))
+    return tracks.close_cycles(members, marked.withColumn("assigned", F.col("top") & (F.col("score") >= 0.25)), new=0.15, match=0.25)
+
+
+@query
+def locked_assignment(spark, d):
+    """What must hold of an assignment with locked pairs: all locked ones stand, no end twice, and nothing is lost to greed."""
+    scratch = Scratch(spark, "locked")
+    m = scratch.save(pairs.endpoint_margins(pairs.symmetric_union(_recalled(spark, d))).filter("a_side != b_side"))
+    up = F.col("a_side") < F.col("b_side")
+    m = scratch.save(m.select(F.concat_ws("-", F.least("a_side", "b_side"), F.greatest("a_side", "b_side")).alias("sides"), F.when(up, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("b"), "score", "margin"))
+    sure = folds.lock_baseline(m, m, match=0.4, margin=0.05)
+    got = scratch.save(folds.assign_pairs(sure, ["sides"], 0.2))
+    twice = lambda c: got.groupBy("sides", c).count().filter("count > 1").agg(F.count(F.lit(1)).alias(f"{c}_twice"))
+    lost = sure.filter("locked").join(got, ["sides", "a", "b"], "left_anti").agg(F.count(F.lit(1)).alias("locked_lost"))
+    # A pair above the floor both of whose ends stay free would have been taken.
+    free = sure.filter("score > 0.2").join(got.select("sides", "a"), ["sides", "a"], "left_anti").join(got.select("sides", "b"), ["sides", "b"], "left_anti").agg(F.count(F.lit(1)).alias("left_free"))
+    return sure.agg(F.count_if("locked").alias("n_locked")).join(lost).join(free).join(twice("a")).join(twice("b"))
+
+
 @query
 def prototype_vectors(spark, d):
     """Mean of the three best views of every tracklet, component by component; unusable vectors take no part."""

@@ -39,6 +39,25 @@ mean AS (SELECT x.entity, avg(score) AS mean FROM links JOIN m x ON a = x.id JOI
 per AS (SELECT entity, count(*) AS n_members, max(best) AS best, bool_or(open) AS open FROM m LEFT JOIN ends USING (id) GROUP BY 1)
 SELECT per.entity, n_members, CASE WHEN n_members > 1 THEN 'MATCHED' WHEN open THEN 'SUSPECTED_DUPLICATE' ELSE 'NEW_ENTITY' END AS state,
        round(CASE WHEN n_members > 1 THEN coalesce(mean, 1.0) WHEN open THEN best ELSE 1 - coalesce(best, 0.0) END, 6) AS confidence FROM per LEFT JOIN mean ON per.entity = mean.entity""",
+    "cycle_closures": f"""WITH {_recall(3)},
+top AS (SELECT x.a, x.b FROM pairs x JOIN (SELECT src, dst_side, dst FROM recall WHERE rn = 1) p ON p.src = x.a AND p.dst = x.b JOIN (SELECT src, dst FROM recall WHERE rn = 1) q ON q.src = x.b AND q.dst = x.a),
+heads AS (SELECT a AS id, a AS head FROM top WHERE a % 3 < 2 AND b % 3 < 2 UNION ALL SELECT b, a FROM top WHERE a % 3 < 2 AND b % 3 < 2),
+m AS (SELECT vec_id AS id, vec_id % 3 AS side, coalesce(head, vec_id) AS entity FROM embeddings LEFT JOIN heads ON id = vec_id),
+z AS (SELECT entity, count(*) AS n, list(DISTINCT side) AS sides FROM m GROUP BY 1),
+l AS (SELECT p.a, p.b, p.score, t.a IS NOT NULL AS top FROM (SELECT DISTINCT a, b, score FROM pairs) p LEFT JOIN top t ON p.a = t.a AND p.b = t.b),
+w AS (SELECT a AS single, b AS m, score, top FROM l UNION ALL SELECT b, a, score, top FROM l),
+s AS (
+  SELECT seed.entity, w.single, w.score, w.top, w.top AND w.score >= 0.25 AS assigned FROM w JOIN m seed ON w.m = seed.id JOIN z zs ON zs.entity = seed.entity AND zs.n = 2 AND len(zs.sides) = 2
+  JOIN m one ON w.single = one.id JOIN z zo ON zo.entity = one.entity AND zo.n = 1 WHERE NOT list_contains(zs.sides, one.side) AND w.score > 0.15
+),
+f AS (SELECT entity, single, min(score) AS bottleneck FROM s GROUP BY 1, 2 HAVING count(*) = 2 AND count(*) FILTER (WHERE assigned OR (score >= 0.25 AND top)) = 2 AND count(*) FILTER (WHERE assigned) >= 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY bottleneck DESC, single) AS i, row_number() OVER (PARTITION BY single ORDER BY bottleneck DESC, entity) AS j FROM f)
+SELECT entity, single, bottleneck FROM r WHERE i = 1 AND j = 1""",
+    "locked_assignment": f"""WITH {_recall(3)},
+best AS (
+  SELECT p.score, p.score - coalesce((SELECT max(q.score) FROM pairs q WHERE q.a = p.a AND q.b_side = p.b_side AND q.b <> p.b), 0.0) AS ma, p.score - coalesce((SELECT max(q.score) FROM pairs q WHERE q.b = p.b AND q.a_side = p.a_side AND q.a <> p.a), 0.0) AS mb FROM pairs p
+)
+SELECT count(*) FILTER (WHERE score >= 0.4 AND least(ma, mb) >= 0.05) AS n_locked, 0 AS locked_lost, 0 AS left_free, 0 AS a_twice, 0 AS b_twice FROM best""",
     "prototype_vectors": f"""
 WITH v AS (SELECT vec_id, {_ID('tracklet_id')} AS track, quality, view_index, vector::DOUBLE[] AS vector FROM track_embedding WHERE len(vector) = 96 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY quality DESC NULLS LAST, view_index NULLS LAST, vec_id) AS rn FROM v WHERE track IS NOT NULL),

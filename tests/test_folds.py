@@ -74,3 +74,26 @@ def test_blocked_topk_against_brute_force(spark, block_rows):
 def test_components(spark):
     df = spark.createDataFrame([("a", "b"), ("c", "b"), ("x", "y"), ("q", "q"), (None, "z")], "a string, b string")
     assert {tuple(r) for r in components.connected_components(df, "a", "b").collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
+
+
+def test_sparse_assignment_is_as_good_as_the_dense_one():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        n, m = rng.integers(1, 8, 2)
+        scores = np.where(rng.random((n, m)) < 0.5, rng.random((n, m)).round(2), -np.inf)
+        near = [{int(j): float(scores[i, j]) for j in np.flatnonzero(np.isfinite(scores[i]))} for i in range(n)]
+        value = lambda out: sum(scores[i, j] if j >= 0 else 0.3 for i, j in enumerate(out))
+        sparse = folds.assign_sparse(near, 0.3)
+        taken = [j for j in sparse if j >= 0]
+        assert len(taken) == len(set(taken)) and abs(value(sparse) - value(folds.assign_max(scores, 0.3))) < 1e-9
+
+
+def test_locked_pairs_stand(spark):
+    rows = [("g", 1, 10, 0.9), ("g", 1, 11, 0.8), ("g", 2, 10, 0.85), ("g", 2, 11, 0.1), ("g", 3, None, 0.9)]
+    df = spark.createDataFrame(rows, "g string, a long, b long, score double")
+    free = {(r["a"], r["b"]) for r in folds.assign_pairs(df, ["g"], 0.2).collect()}
+    base = spark.createDataFrame([(1, 10, 0.9, 0.3), (2, 10, 0.85, 0.0)], "a long, b long, score double, margin double")
+    kept = {(r["a"], r["b"]) for r in folds.assign_pairs(folds.lock_baseline(df, base, match=0.5, margin=0.1), ["g"], 0.2).collect()}
+    assert free == {(1, 11), (2, 10)} and kept == {(1, 10)}
