@@ -295,6 +295,47 @@ def box_clusters(spark, d):
     return folds.cluster_boxes(b, ["l_suppkey", "frame"], 0.5).groupBy("l_suppkey", "frame").agg(F.countDistinct("cluster").alias("n_clusters"), F.count(F.lit(1)).alias("n"))
 
 
+@query
+def suppressed_checks(spark, d):
+    """What must hold of suppressed boxes: no two kept ones overlap by the threshold, every dropped one overlaps a kept one
+    that comes before it."""
+    scratch = Scratch(spark, "suppressed")
+    b = scratch.save(_boxes(spark, d).withColumn("frame", F.date_format("day", "yyyy-MM")).drop("day").withColumn("n", F.monotonically_increasing_id()))
+    kept = scratch.save(folds.suppress_boxes(b, ["l_suppkey", "frame"], 0.4))
+    own = b.join(kept.select("n", F.lit(True).alias("kept")), "n", "left").select("l_suppkey", "frame", "n", "score", "kept", F.struct(*folds.BOX).alias("own"))
+    other = kept.select("l_suppkey", "frame", F.col("n").alias("m"), F.col("score").alias("s"), F.struct(*folds.BOX).alias("other"))
+    near = own.join(other, ["l_suppkey", "frame"]).filter((F.col("n") != F.col("m")) & (K.iou("own", "other") >= 0.4))
+    per = near.groupBy("n").agg(F.bool_or("kept").alias("kept"), F.bool_or(F.col("s") >= F.col("score")).alias("covered"))
+    j = own.join(per.select("n", F.col("kept").alias("clash"), "covered"), "n", "left")
+    return j.agg(F.count(F.lit(1)).alias("n_boxes"), F.count_if(F.col("clash")).alias("kept_overlapping"), F.count_if(F.col("kept").isNull() & ~F.coalesce("covered", F.lit(False))).alias("dropped_alone"))
+
+
+@query
+def tracked_checks(spark, d):
+    """What must hold of tracks: one box a frame, neighbours overlap and lie at most three frames apart, two boxes at least."""
+    b = _boxes(spark, d).withColumn("frame", (F.year("day") * 12 + F.month("day")).cast("int")).drop("day", "score")
+    t = Scratch(spark, "tracked").save(folds.track_boxes(b, ["l_suppkey"]))
+    w = Window.partitionBy("l_suppkey", "track").orderBy("frame", "id")
+    step = t.select("l_suppkey", "track", "frame", F.struct(*folds.BOX).alias("own"), F.lag("frame").over(w).alias("before"), F.lag(F.struct(*folds.BOX)).over(w).alias("last"), F.count(F.lit(1)).over(Window.partitionBy("l_suppkey", "track")).alias("n"))
+    held = step.agg(F.count_if(F.col("frame") == F.col("before")).alias("same_frame"), F.count_if(F.col("frame") - F.col("before") > 3).alias("far"), F.count_if(F.col("before").isNotNull() & (F.round(K.iou("own", "last"), 9) < 0.3)).alias("apart"), F.count_if(F.col("n") < 2).alias("short"))
+    return b.agg(F.count(F.lit(1)).alias("n_boxes")).join(held)
+
+
+@query
+def linkage_checks(spark, d):
+    """What must hold of linked entities: every vector once, one of each clip at most, named by the smallest, linked inside."""
+    from linkloom.plans.linkage import linkage_entities
+
+    e = Scratch(spark, "entities").save(linkage_entities(spark, d))
+    per = e.groupBy("entity_head").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"), F.countDistinct(F.col("vec_id") % 3).alias("clips"))
+    bad = per.agg(F.count_if(F.col("least") != F.col("entity_head")).alias("misnamed"), F.count_if(F.col("n") != F.col("clips")).alias("clip_twice"))
+    link = pairs.symmetric_union(_recalled(spark, d)).filter("score >= 0.3").select("a", "b")
+    both = link.join(e.select(F.col("vec_id").alias("a"), F.col("entity_head").alias("ha")), "a").join(e.select(F.col("vec_id").alias("b"), F.col("entity_head").alias("hb")), "b").filter("ha = hb")
+    linked = both.select(F.explode(F.array("a", "b")).alias("vec_id")).distinct()
+    alone = e.join(per.filter("n > 1").select("entity_head"), "entity_head").join(linked, "vec_id", "left_anti").agg(F.count(F.lit(1)).alias("unlinked"))
+    return e.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("n_different")).join(bad).join(alone)
+
+
 # --- joins that check -------------------------------------------------------------------------------------------------
 
 

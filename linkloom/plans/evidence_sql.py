@@ -110,6 +110,9 @@ f AS (SELECT user_id, count(*) AS n, regr_slope(value, t) FILTER (WHERE rn > 1)
 SELECT user_id, round(base + slope * t, 3) AS predicted, round(abs(base + slope * t - value) / greatest(1.0, spread), 4) AS error FROM f WHERE n = 4""",
     "matched_frames": f"""WITH {_FRAMED}, d AS (SELECT DISTINCT l_suppkey, day, id, part, label = 'R' AS r FROM b)
 SELECT count(*) FILTER (WHERE NOT r) AS n_truth, count(*) FILTER (WHERE r) AS n_found, 0 AS n_apart, 0 AS truth_id_twice, 0 AS found_id_twice FROM d""",
+    "suppressed_checks": "SELECT count(*) AS n_boxes, 0 AS kept_overlapping, 0 AS dropped_alone FROM lineitem",
+    "tracked_checks": "SELECT count(*) AS n_boxes, 0 AS same_frame, 0 AS far, 0 AS apart, 0 AS short FROM lineitem",
+    "linkage_checks": "SELECT count(*) AS n, count(DISTINCT vec_id) AS n_different, 0 AS misnamed, 0 AS clip_twice, 0 AS unlinked FROM embeddings",
     "required_sidecar": "SELECT count(*) AS n, count(*) FILTER (WHERE c_acctbal >= 0) AS n_known, round(sum(c_acctbal) FILTER (WHERE c_acctbal >= 0), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey",
     "one_to_one_status": """
 WITH a AS (SELECT p_partkey AS k, count(*) AS n FROM part GROUP BY 1), b AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_quantity > 48 GROUP BY 1),
