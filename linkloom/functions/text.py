@@ -63,3 +63,18 @@ def enum_or_unknown(c: Column, known: list[str]) -> Column:
     """The value in lower case if it is one of the known ones, else ``unknown``."""
     low = F.lower(F.trim(c))
     return F.when(low.isin(*known), low).otherwise("unknown")
+
+
+def word_runs(c: Column, most: int) -> Column:
+    """All distinct runs of one to ``most`` words of a text whose words are parted by single blanks."""
+    words = F.split(c, " ")
+    n = F.size(words)
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(most))), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))))
+    return F.when(c != "", F.array_distinct(runs))
+
+
+def scored_choice(c: Column) -> tuple[Column, Column]:
+    """The scores in an answer ``{"label": score, ...}`` within 0 to 100, and the label that alone has the highest."""
+    scores = F.transform_values(F.map_filter(F.from_json(c, "map<string, double>"), lambda k, v: v.isNotNull()), lambda k, v: F.greatest(F.lit(0.0), F.least(F.lit(100.0), v)))
+    top = F.map_keys(F.map_filter(scores, lambda k, v: v == F.array_max(F.map_values(scores))))
+    return scores, F.when(F.size(top) == 1, F.get(top, 0))

@@ -99,11 +99,11 @@ def assign_sparse(near: list[dict[int, float]], floor: float) -> list[int]:
     return out
 
 
-def assign_pairs(pairs: DataFrame, group: list[str], floor: float) -> DataFrame:
+def assign_pairs(pairs: DataFrame, group: list[str], floor: float, *, most_first: bool = False) -> DataFrame:
     """One-to-one pairs of the largest total score per group: ``<group>, a, b, score``; pairs at or below the floor lose.
 
     Where the pairs have a true ``locked``, these stand and only what they leave is assigned; of several locked pairs of
-    one end the best stands. Pairs with a null end or score take no part; of repeated pairs the best score counts.
+    one end the best stands. With most_first the number of pairs comes before their sum. Pairs with a null end or score take no part; of repeated pairs the best score counts.
     """
     has_lock = "locked" in pairs.columns
 
@@ -121,7 +121,8 @@ def assign_pairs(pairs: DataFrame, group: list[str], floor: float) -> DataFrame:
         near: list[dict[int, float]] = [{} for _ in left]
         for a, b, s in zip(rest["a"], rest["b"], rest["score"], strict=True):
             near[at_l[a]][at_r[b]] = float(s)
-        keep |= {(left[i], right[j]) for i, j in enumerate(assign_sparse(near, floor)) if j >= 0}
+        alone = floor if not most_first else -1.0 - 2 * sum(abs(s) for x in near for s in x.values())
+        keep |= {(left[i], right[j]) for i, j in enumerate(assign_sparse(near, alone)) if j >= 0}
         return pdf.loc[[x in keep for x in zip(pdf["a"], pdf["b"], strict=True)], [*group, "a", "b", "score"]]
 
     kept = pairs.select(*group, "a", "b", "score", F.coalesce(F.col("locked"), F.lit(False)).alias("locked") if has_lock else F.lit(False).alias("locked")).filter("a is not null and b is not null and score is not null")
@@ -166,8 +167,8 @@ def match_most(edges: list[tuple], order: Iterable[int] | None = None) -> dict:
     return held
 
 
-def match_frames(truth: DataFrame, found: DataFrame, frame: list[str], label: str, threshold: float) -> DataFrame:
-    """Matchings of the most boxes per frame and label: ``<frame>, <label>, truth_id, found_id, iou``, both sides kept.
+def match_frames(truth: DataFrame, found: DataFrame, frame: list[str], label: str, threshold: float, *, by_total: bool = False) -> DataFrame:
+    """Matchings of the most boxes, or with by_total of the largest sum of overlaps, per frame and label: ``<frame>, <label>, truth_id, found_id, iou``, both sides kept.
 
     Both: ``<frame>, <label>, id, x1..y2``. Boxes overlapping by the threshold or more may match, tried from the largest
     overlap on, then by ids; a box without a match has a null partner.
@@ -182,7 +183,13 @@ def match_frames(truth: DataFrame, found: DataFrame, frame: list[str], label: st
             over = iou_matrix(t[BOX].to_numpy(float), f[BOX].to_numpy(float))
             ids, others = t["id"].tolist(), f["id"].tolist()
             near = sorted((-over[i, j], i, j) for i, j in zip(*np.nonzero(over >= threshold), strict=True))
-            chosen = match_most([(i, j) for _, i, j in near])
+            if by_total:
+                scores: list[dict[int, float]] = [{} for _ in ids]
+                for s, i, j in near:
+                    scores[i][int(j)] = float(-s)
+                chosen = {i: j for i, j in enumerate(assign_sparse(scores, 0.0)) if j >= 0}
+            else:
+                chosen = match_most([(i, j) for _, i, j in near])
             out += [(*key, ids[i], others[j], over[i, j]) for i, j in chosen.items()]
             out += [(*key, x, None, None) for i, x in enumerate(ids) if i not in chosen]
             out += [(*key, None, y, None) for j, y in enumerate(others) if j not in set(chosen.values())]

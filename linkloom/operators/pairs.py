@@ -199,3 +199,20 @@ def reconcile(rows: DataFrame, key: str, tiers: list[tuple[DataFrame, Column, fl
     clear = F.col("lo") == F.col("hi")
     status = F.when(F.col("c").isNull(), "unmapped").when(clear, "mapped").otherwise("conflict")
     return rows.select(key).join(best, F.col(key) == F.col("_key"), "left").select(key, status.alias("status"), F.when(clear, F.col("lo")).alias("target"), F.when(clear, F.col("c")).otherwise(0.0).alias("confidence"))
+
+
+def resolve_by_containment(rows: DataFrame, key: str, name: str, aliases: DataFrame, *, most_words: int = 6) -> DataFrame:
+    """``key, target, n_targets``: the target if exactly one has an alias that is a run of whole words of the name, or of
+    which the name is one.
+
+    aliases: ``alias, target``, both sides in label form. Runs of words are joined by equality, so nothing is compared with
+    everything; aliases and names of more than most_words words are only found whole.
+    """
+    from linkloom.functions.text import word_runs
+
+    a = aliases.select(F.col("alias").alias("_alias"), F.col("target").alias("_target")).filter("_alias != ''").distinct()
+    r = rows.select(F.col(key).alias("_key"), F.col(name).alias("_name"))
+    inside = r.select("_key", F.explode(word_runs(F.col("_name"), most_words)).alias("_alias")).join(a, "_alias")
+    around = r.join(a.select(F.explode(word_runs(F.col("_alias"), most_words)).alias("_name"), "_target"), "_name")
+    per = inside.select("_key", "_target").unionAll(around.select("_key", "_target")).groupBy("_key").agg(F.countDistinct("_target").alias("n"), F.min("_target").alias("t"))
+    return rows.select(key).join(per, F.col(key) == F.col("_key"), "left").select(key, F.when(F.col("n") == 1, F.col("t")).alias("target"), F.coalesce("n", F.lit(0)).alias("n_targets"))

@@ -492,6 +492,77 @@ def tier_gates(spark, d):
     return g.select("o_custkey", "strict", "diagnostic", (F.round("share", 9) >= 0.9).alias("revised"))
 
 
+@query
+def hard_negatives(spark, d):
+    """Each vector's best of its own label in another clip against its best of another label: margins by label."""
+    e = table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 3).cast("int").alias("clip"), "label", F.lit(0).alias("all"), "embedding")
+    own = pairs.blocked_topk(e, key="vec_id", side="clip", category="label", vector="embedding", k=1).groupBy("src").agg(F.max("score").alias("own"))
+    other = pairs.blocked_topk(e, key="vec_id", side="label", category="all", vector="embedding", k=1).groupBy("src", "src_side").agg(F.max("score").alias("other"))
+    m = own.join(other, "src").withColumn("margin", F.col("own") - F.col("other"))
+    return m.groupBy(F.col("src_side").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("margin"), 6).alias("margin"), F.count_if(F.col("margin") < 0).alias("n_wrong"), F.max("other").alias("hardest"))
+
+
+@query
+def unit_means(spark, d):
+    """The mean vector of each entity's views, weighted and scaled to length one."""
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 4).cast("long").alias("entity"), (F.col("vec_id") % 3 + 1).alias("w"), F.posexplode("embedding").alias("pos", "x"))
+    m = e.groupBy("entity", "pos").agg((F.sum(F.col("w") * F.col("x").cast("double")) / F.sum("w")).alias("m"))
+    norm = F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy("entity")))
+    return m.select("entity", "pos", (F.round(F.col("m") / norm + 1e-9, 5) + 0.0).alias("unit"))
+
+
+@query
+def projected_vectors(spark, d):
+    """The vectors through a head of two layers with fixed weights, component by component."""
+    import numpy as np
+
+    from linkloom.functions.vectors import project
+
+    n = len(table(spark, d, "embeddings").select("embedding").head()[0])
+    first, second = np.sin(np.arange(n * 8).reshape(8, n) + 1).T, np.cos(np.arange(64).reshape(8, 8) + 1).T
+    p = table(spark, d, "embeddings").select("vec_id", F.posexplode(project(F.col("embedding"), first, second)).alias("pos", "x"))
+    return p.select("vec_id", "pos", (F.round(F.col("x") + 1e-9, 5) + 0.0).alias("x"))
+
+
+def _signatures(spark: SparkSession, d: str) -> DataFrame:
+    b = _framed(spark, d).withColumn("c", F.struct("id", "part", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y")))
+    top = b.groupBy("l_suppkey", "day", "label").agg(F.min("c").alias("c"))
+    seen = top.groupBy("l_suppkey", "label").agg(F.count(F.lit(1)).alias("n_seen"))
+    a, o = (top.select("l_suppkey", "day", F.col("label").alias(n), F.col("c").alias(f"c_{n}")) for n in ("label", "other"))
+    gap = F.hypot(F.col("c_label.x") - F.col("c_other.x"), F.col("c_label.y") - F.col("c_other.y"))
+    near = a.join(o, ["l_suppkey", "day"]).filter("label != other").select("l_suppkey", "label", "other", gap.alias("gap"))
+    keys = ["l_suppkey", "label", "other"]
+    mid = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.median("gap").alias("median"))
+    mad = near.join(mid.select(*keys, "median"), keys).groupBy(*keys).agg(F.median(F.abs(F.col("gap") - F.col("median"))).alias("mad"))
+    place = Window.partitionBy("l_suppkey", "label")
+    s = mid.join(mad, keys).join(seen, ["l_suppkey", "label"])
+    rank = (F.row_number().over(place.orderBy("median", "other")) - 1) / F.greatest(F.lit(1), F.count(F.lit(1)).over(place) - 1)
+    return s.select(*keys, "n", (F.col("n") / F.col("n_seen")).alias("together"), "median", "mad", rank.alias("rank"))
+
+
+@query
+def neighbour_signatures(spark, d):
+    """How far each label's box lies from those of other labels: median, spread, share of frames together, rank."""
+    s = _signatures(spark, d)
+    return s.select("l_suppkey", "label", "other", "n", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("together", "median", "mad", "rank")])
+
+
+@query
+def signature_similarity(spark, d):
+    """Agreement of a label's neighbourhood between each supplier and the next: null where nothing is shared."""
+    s = Scratch(spark, "signatures").save(_signatures(spark, d))
+    a, b = s, s.select((F.col("l_suppkey") - 1).alias("l_suppkey"), "label", "other", *[F.col(c).alias(f"{c}2") for c in ("together", "median", "rank")])
+    j = a.join(b, ["l_suppkey", "label", "other"])
+    near = F.exp(-F.abs(F.ln((F.col("median") + 1) / (F.col("median2") + 1))))
+    agree = 0.55 * near + 0.25 * (1 - F.abs(F.col("together") - F.col("together2"))) + 0.2 * (1 - F.abs(F.col("rank") - F.col("rank2")))
+    sizes = lambda df, name: df.groupBy("l_suppkey", "label").agg(F.count(F.lit(1)).alias(name))
+    per = j.groupBy("l_suppkey", "label").agg(F.count(F.lit(1)).alias("shared"), F.avg(agree).alias("agreement"), F.sum("n").alias("support"))
+    all_ = per.join(sizes(a, "na"), ["l_suppkey", "label"]).join(sizes(b, "nb"), ["l_suppkey", "label"])
+    overlap = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
+    confidence = F.least(F.lit(1.0), F.col("shared") / 3) * F.least(F.lit(1.0), F.cbrt(F.col("support") / 1000))
+    return all_.select("l_suppkey", "label", F.round(0.5 * overlap + 0.5 * F.col("agreement") + 1e-9, 5).alias("score"), F.round(confidence + 1e-9, 5).alias("confidence"))
+
+
 # --- data sets and logs -----------------------------------------------------------------------------------------------
 
 
@@ -592,6 +663,29 @@ def exactly_one(spark, d):
     return per.select("run", status.alias("status"))
 
 
+@query
+def chain_checks(spark, d):
+    """Runs by what is wrong with the chain of causes: later, in another run, named by more than one message."""
+    m = table(spark, d, "message_log").select(id_form("message_id").alias("id"), "ordinal", id_form("causation_id").alias("cause"), id_form("correlation_id").alias("run")).filter("id is not null")
+    first = m.groupBy("id").agg(F.min(F.struct("ordinal", "cause", "run")).alias("m")).select("id", "m.*")
+    up = first.select(F.col("id").alias("cause"), F.col("ordinal").alias("above"), F.col("run").alias("other"))
+    j = first.filter("cause is not null").join(up, "cause", "left")
+    kids = j.groupBy("cause").agg(F.count(F.lit(1)).alias("n_kids"))
+    j = j.join(kids, "cause")
+    return j.groupBy("run").agg(
+        F.count(F.lit(1)).alias("n_links"), F.count_if(F.col("above").isNull()).alias("n_missing"), F.count_if(F.col("above") >= F.col("ordinal")).alias("n_later"),
+        F.count_if(F.col("run") != F.col("other")).alias("n_other_run"), F.count_if(F.col("n_kids") > 1).alias("n_shared_cause"),
+    )
+
+
+@query
+def contained_names(spark, d):
+    """Part names resolved by whole-word containment in either direction, only where exactly one type is meant."""
+    p = table(spark, d, "part").select("p_partkey", K.label_form(F.col("p_name")).alias("name"), "p_size", "p_type")
+    aliases = p.filter("p_size = 1").select(F.col("name").alias("alias"), F.col("p_type").alias("target")).unionAll(p.filter("p_size = 2").select(F.element_at(F.split("name", " "), 1), "p_type"))
+    return pairs.resolve_by_containment(p, "p_partkey", "name", aliases)
+
+
 @query
 def dead_phrases(spark, d):
     """Part names of which no part was sold in the largest returned lines."""

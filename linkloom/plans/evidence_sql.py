@@ -18,6 +18,14 @@ cand AS (
 _FRAMED = "b AS (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS day, l_orderkey * 10 + l_linenumber AS id, l_returnflag AS label, l_partkey AS part, l_quantity AS x1, l_discount * 100 AS y1, l_quantity + 10 AS x2, l_discount * 100 + 5 AS y2 FROM lineitem)"
 _BOTH = "greatest(least({0}x2, {1}x2) - greatest({0}x1, {1}x1), 0.0) * greatest(least({0}y2, {1}y2) - greatest({0}y1, {1}y1), 0.0)"
 
+_SIGNATURES = f"""{_FRAMED},
+r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, day, label ORDER BY id, part, x1, y1) AS rn FROM b),
+t AS (SELECT l_suppkey, day, label, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM r WHERE rn = 1),
+seen AS (SELECT l_suppkey, label, count(*) AS n_seen FROM t GROUP BY 1, 2),
+near AS (SELECT a.l_suppkey, a.label, o.label AS other, sqrt(pow(a.x - o.x, 2) + pow(a.y - o.y, 2)) AS gap FROM t a JOIN t o ON a.l_suppkey = o.l_suppkey AND a.day = o.day AND a.label <> o.label),
+g AS (SELECT l_suppkey, label, other, count(*) AS n, median(gap) AS median, mad(gap) AS mad FROM near GROUP BY 1, 2, 3),
+sig AS (SELECT g.l_suppkey, g.label, other, n, n::DOUBLE / n_seen AS together, median, mad, (row_number() OVER w - 1)::DOUBLE / greatest(1, count(*) OVER (PARTITION BY g.l_suppkey, g.label) - 1) AS rank FROM g JOIN seen ON g.l_suppkey = seen.l_suppkey AND g.label = seen.label WINDOW w AS (PARTITION BY g.l_suppkey, g.label ORDER BY median, other))"""
+
 _NAMES = r"""
 p AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS name, p_type, p_size FROM part),
 q AS (SELECT *, string_split(name, ' ')[-1] AS tail FROM p)"""
@@ -161,6 +169,35 @@ SELECT o_custkey, max(move) AS most, round(avg(move), 6) AS mean, count(*) FILTE
     "tier_gates": """
 WITH n AS (SELECT o_custkey, o_totalprice AS p, abs(o_totalprice - round(o_totalprice, -3)) <= 480 AS near FROM orders)
 SELECT o_custkey, bool_and(p = round(p, 0)) AS strict, bool_and(near) AS diagnostic, round(avg(CASE WHEN near THEN 1.0 ELSE 0.0 END), 9) >= 0.9 AS revised FROM n GROUP BY 1""",
+    "hard_negatives": """
+WITH e AS (SELECT vec_id, vec_id % 3 AS clip, label, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT a.vec_id AS src, a.label, a.label = b.label AS same, round(greatest(0.0, least(1.0, list_cosine_similarity(a.v, b.v))), 6) AS score FROM e a JOIN e b ON a.label <> b.label OR a.clip <> b.clip),
+m AS (SELECT src, label, max(score) FILTER (WHERE same) AS own, max(score) FILTER (WHERE NOT same) AS other FROM s GROUP BY 1, 2)
+SELECT label, count(*) AS n, round(avg(own - other), 6) AS margin, count(*) FILTER (WHERE own - other < 0) AS n_wrong, max(other) AS hardest FROM m WHERE own IS NOT NULL AND other IS NOT NULL GROUP BY 1""",
+    "unit_means": """
+WITH e AS (SELECT vec_id // 4 AS entity, vec_id % 3 + 1 AS w, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+m AS (SELECT entity, pos, sum(w * x) / sum(w) AS m FROM e GROUP BY 1, 2)
+SELECT entity, CAST(pos - 1 AS INTEGER) AS pos, round(m / sqrt(sum(m * m) OVER (PARTITION BY entity)) + 1e-9, 5) + 0.0 AS unit FROM m""",
+    "projected_vectors": """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v, len(embedding) AS n FROM embeddings),
+i AS (SELECT vec_id, i.range AS i, greatest(0.0, list_dot_product(v, list_transform(range(n), lambda j: sin(i.range * n + j + 1)))) AS h FROM v, range(8) i),
+h AS (SELECT vec_id, list(h ORDER BY i) AS h FROM i GROUP BY 1),
+o AS (SELECT vec_id, k.range AS pos, list_dot_product(h, list_transform(range(8), lambda j: cos(k.range * 8 + j + 1))) AS y FROM h, range(8) k)
+SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(y / sqrt(sum(y * y) OVER (PARTITION BY vec_id)) + 1e-9, 5) + 0.0 AS x FROM o""",
+    "neighbour_signatures": f"WITH {_SIGNATURES} SELECT l_suppkey, label, other, n, round(together + 1e-9, 5) AS together, round(median + 1e-9, 5) AS median, round(mad + 1e-9, 5) AS mad, round(rank + 1e-9, 5) AS rank FROM sig",
+    "signature_similarity": f"""WITH {_SIGNATURES},
+j AS (SELECT a.l_suppkey, a.label, a.n, 0.55 * exp(-abs(ln((a.median + 1) / (b.median + 1)))) + 0.25 * (1 - abs(a.together - b.together)) + 0.2 * (1 - abs(a.rank - b.rank)) AS agree FROM sig a JOIN sig b ON b.l_suppkey = a.l_suppkey + 1 AND a.label = b.label AND a.other = b.other),
+p AS (SELECT l_suppkey, label, count(*) AS shared, avg(agree) AS agreement, sum(n) AS support FROM j GROUP BY 1, 2), z AS (SELECT l_suppkey, label, count(*) AS n FROM sig GROUP BY 1, 2)
+SELECT p.l_suppkey, p.label, round(0.5 * shared::DOUBLE / (x.n + y.n - shared) + 0.5 * agreement + 1e-9, 5) AS score, round(least(1.0, shared / 3.0::DOUBLE) * least(1.0, cbrt(support / 1000.0::DOUBLE)) + 1e-9, 5) AS confidence FROM p JOIN z x ON p.l_suppkey = x.l_suppkey AND p.label = x.label JOIN z y ON y.l_suppkey = p.l_suppkey + 1 AND y.label = p.label""",
+    "chain_checks": f"""
+WITH m AS (SELECT {_ID('message_id')} AS id, ordinal, {_ID('causation_id')} AS cause, {_ID('correlation_id')} AS run FROM message_log),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ordinal) AS rn FROM m WHERE id IS NOT NULL) WHERE rn = 1),
+j AS (SELECT f.run, f.ordinal, u.ordinal AS above, u.run AS other, count(*) OVER (PARTITION BY f.cause) AS n_kids FROM f LEFT JOIN f u ON f.cause = u.id WHERE f.cause IS NOT NULL)
+SELECT run, count(*) AS n_links, count(*) FILTER (WHERE above IS NULL) AS n_missing, count(*) FILTER (WHERE above >= ordinal) AS n_later, count(*) FILTER (WHERE run <> other) AS n_other_run, count(*) FILTER (WHERE n_kids > 1) AS n_shared_cause FROM j GROUP BY 1""",
+    "contained_names": f"""WITH {_NAMES},
+al AS (SELECT DISTINCT name AS alias, p_type AS target FROM q WHERE p_size = 1 UNION SELECT DISTINCT string_split(name, ' ')[1], p_type FROM q WHERE p_size = 2),
+h AS (SELECT p_partkey, count(DISTINCT target) AS n, min(target) AS target FROM (SELECT DISTINCT p_partkey, name FROM q) JOIN al ON contains(' ' || name || ' ', ' ' || alias || ' ') OR contains(' ' || alias || ' ', ' ' || name || ' ') GROUP BY 1)
+SELECT q.p_partkey, CASE WHEN n = 1 THEN target END AS target, coalesce(n, 0) AS n_targets FROM q LEFT JOIN h ON q.p_partkey = h.p_partkey""",
     "link_buckets": f"""
 WITH s AS (SELECT {_ID('tracklet_id')} AS t, min({_ID('identity_id')}) AS i FROM sf1_sample WHERE contains(lower(identity_id), '_anchor_') AND {_ID('tracklet_id')} IS NOT NULL GROUP BY 1),
 e AS (SELECT {_ID('tracklet_a')} AS a, {_ID('tracklet_b')} AS b FROM merge_pairs), p AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM e WHERE a <> b)

@@ -104,9 +104,10 @@ WITH l AS (SELECT o_orderpriority, list_sort(list(o_totalprice)) AS v FROM order
 SELECT o_orderpriority, v[least(len(v) - 1, CAST(floor(len(v) * 0.5) AS BIGINT)) + 1] AS p50, v[least(len(v) - 1, CAST(floor(len(v) * 0.9) AS BIGINT)) + 1] AS p90, v[least(len(v) - 1, CAST(floor(len(v) * 0.99) AS BIGINT)) + 1] AS p99 FROM l""",
     "seed_statistics": "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS least, max(value) AS most, count(value) AS n FROM events GROUP BY 1",
     "array_differences": """
-WITH n AS (SELECT vec_id, embedding AS a, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings),
-x AS (SELECT vec_id, abs(unnest(a)::DOUBLE - unnest(b)::DOUBLE) AS x FROM n WHERE b IS NOT NULL)
-SELECT vec_id, round(max(x), 6) AS max_abs, round(avg(x), 6) AS mean_abs, round(quantile_cont(x, 0.95), 6) AS p95, round(sqrt(avg(x * x)), 6) AS rmse FROM x GROUP BY 1""",
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+j AS (SELECT a.vec_id, a.v, b.v AS w, list_transform(a.v, lambda x: isfinite(x)) = list_transform(b.v, lambda x: isfinite(x)) AS same_pattern FROM e a JOIN e b ON a.vec_id % 2 = 0 AND b.vec_id = a.vec_id + 1),
+u AS (SELECT vec_id, same_pattern, unnest(v) AS p, unnest(w) AS q FROM j), x AS (SELECT vec_id, same_pattern, abs(p - q) AS x FROM u WHERE isfinite(p) AND isfinite(q))
+SELECT vec_id, same_pattern, round(max(x), 6) AS max_abs, round(avg(x), 6) AS mean_abs, round(quantile_cont(x, 0.5) + 1e-9, 5) AS p50, round(quantile_cont(x, 0.95) + 1e-9, 5) AS p95, round(quantile_cont(x, 0.99) + 1e-9, 5) AS p99, round(sqrt(avg(x * x)), 6) AS rmse FROM x GROUP BY 1, 2""",
     "ranked_overlap": """
 WITH o AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey),
 a AS (SELECT c_mktsegment, o_orderkey AS k, r AS ra FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_totalprice DESC, o_orderkey) AS r FROM o) WHERE r <= 100),

@@ -138,3 +138,23 @@ def test_spaced_and_clustered_and_packed(spark):
     b = spark.createDataFrame(boxes, "f string, id int, x1 double, y1 double, x2 double, y2 double")
     assert {(r["f"], r["id"]): r["cluster"] for r in folds.cluster_boxes(b, ["f"], 0.6).collect()} == {("f", 1): 0, ("f", 2): 0, ("f", 3): 1, ("f", 4): 0, ("g", 1): 0}
     assert folds.pack_first_fit([("a", 3), ("b", 3), ("c", 2), ("d", 1)], 5, {frozenset(("a", "c"))}) == [["a", "d"], ["b", "c"]]
+
+
+def test_word_runs_and_choices(spark):
+    assert [sorted(x) if x else x for x in column(spark, ["a b c", "a", "", None, "a b a b"], lambda c: X.word_runs(c, 2))] == [["a", "a b", "b", "b c", "c"], ["a"], None, None, ["a", "a b", "b", "b a"]]
+    answers = ['{"small": 70, "big": 20}', '{"small": 170, "big": 100}', '{"small": null, "big": -3}', "no", None, "{}"]
+    assert column(spark, answers, lambda c: X.scored_choice(c)[1]) == ["small", None, "big", None, None, None]
+
+
+def test_containment_both_ways(spark):
+    rows = spark.createDataFrame([(1, "red toy crane"), (2, "crane"), (3, "toy"), (4, "craner"), (5, None), (6, "box")], "alias int, name string")
+    al = spark.createDataFrame([("toy crane", "T"), ("red", "R"), ("box", "B"), ("big box", "B")], "alias string, target string")
+    got = {r["alias"]: (r["target"], r["n_targets"]) for r in pairs.resolve_by_containment(rows, "alias", "name", al).collect()}
+    assert got == {1: (None, 2), 2: ("T", 1), 3: ("T", 1), 4: (None, 0), 5: (None, 0), 6: ("B", 1)}
+
+
+def test_most_pairs_before_the_best_sum(spark):
+    rows = [("g", 1, 10, 0.9), ("g", 1, 11, 0.1), ("g", 2, 10, 0.2), ("h", 1, 1, -5.0)]
+    df = spark.createDataFrame(rows, "g string, a long, b long, score double")
+    run = lambda **kw: {tuple(r)[:3] for r in folds.assign_pairs(df, ["g"], -9.0 if kw else 0.0, **kw).collect()}
+    assert run() == {("g", 1, 10)} and run(most_first=True) == {("g", 1, 11), ("g", 2, 10), ("h", 1, 1)}
