@@ -333,9 +333,11 @@ def residue_flags(texts: list[str], model: Model, least: float = 0.5) -> list[bo
     return flags
 
 
-def samples(rows: DataFrame, sample_docs: int) -> tuple[list[str], list[str]]:
-    """Different texts with a seed, and different texts of all; both by hash of the text, in one scan."""
-    total = rows.count()
+def samples(rows: DataFrame, sample_docs: int, total: int | None = None) -> tuple[list[str], list[str]]:
+    """Different texts with a seed, and different texts of all; both by hash of the text, in one scan.
+
+    total: about how many rows there are; it only sets the share that is drawn."""
+    total = rows.count() if total is None else total
     sought, drawn = max(1, total // (sample_docs * SEEK)), max(1, -(-total // sample_docs))
     h = F.xxhash64("t", F.lit(11))
     picked = rows.select("t", h.alias("h")).filter(F.pmod("h", F.lit(sought)) == 0)
@@ -354,7 +356,8 @@ def find_residue(documents: DataFrame, key: str, text: str = "text", *, sample_d
     Null, empty and blank texts and null keys are no cases. Further columns are ignored.
     """
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null and trim(t) != ''")
-    seeded, drawn = samples(rows, sample_docs)
+    # Counting the rows of the table takes its footers only, not its texts.
+    seeded, drawn = samples(rows, sample_docs, documents.count())
     model = fit([passages(t) for t in seeded], [passages(t) for t in drawn])
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
