@@ -218,6 +218,57 @@ def spaced_best(rows: DataFrame, group: list[str], order: str, score: str, *, sh
     return in_buckets(rows, group).groupBy("_bucket").applyInPandas(run, rows.schema)
 
 
+def quota_sample(rows: DataFrame, group: list[str], order: str, score: str, *, quota: int, gap: float) -> DataFrame:
+    """Of every group at most ``quota`` rows at least gap apart: first half of them by the best score, the others by even
+    steps through what is left in order, then whatever still fits, by order. Ties of the score go by order."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keep: list = []
+        for _, part in pdf.drop(columns="_bucket").groupby(group, dropna=False):
+            part = part.sort_values(order)
+            place = dict(zip(part.index, part[order], strict=True))
+            taken: list = []
+
+            def fill(rows: Iterable, upto: int, place: dict = place, taken: list = taken) -> None:
+                for row in rows:
+                    if len(taken) >= upto:
+                        return
+                    if row not in taken and all(abs(place[row] - place[x]) >= gap for x in taken):
+                        taken.append(row)
+
+            fill(part.sort_values([score, order], ascending=[False, True]).index, (quota + 1) // 2)
+            rest = [x for x in part.index if x not in taken]
+            step = max(1, len(rest) // max(1, quota - len(taken)))
+            fill(rest[::step], quota)
+            fill(rest, quota)
+            keep += taken
+        return pdf.loc[sorted(keep)].drop(columns="_bucket")
+
+    return in_buckets(rows, group).groupBy("_bucket").applyInPandas(run, rows.schema)
+
+
+def greedy_cover(rows: DataFrame, group: list[str], key: str, members: str, most: int) -> DataFrame:
+    """``<group>, key, place, n_new``: up to ``most`` rows of a group that cover the most members, each the one that adds
+    the most, ties by the smaller key; rows that add none are left out. A group's sets are small: one frame, one card."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for name, part in pdf.groupby(group, dropna=False):
+            left = sorted((k, set(m) if m is not None else set()) for k, m in zip(part[key], part[members], strict=True))
+            seen: set = set()
+            for place in range(1, most + 1):
+                new, k = max(((len(m - seen), -n) for n, (_, m) in enumerate(left)), default=(0, 0))
+                if not new:
+                    break
+                at = left.pop(-k)
+                seen |= at[1]
+                out.append((*name, at[0], place, new))
+        return pd.DataFrame(out, columns=[*group, key, "place", "n_new"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*group, key])
+    return in_buckets(rows.select(*group, key, members), group).groupBy("_bucket").applyInPandas(run, f"{kinds}, place int, n_new int")
+
+
 def cluster_boxes(boxes: DataFrame, group: list[str], threshold: float) -> DataFrame:
     """Boxes with the ``cluster`` they join, in order of id: the one with the member they overlap most, by the threshold
     at least, else a new one; clusters are numbered within the group."""

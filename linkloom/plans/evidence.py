@@ -563,6 +563,70 @@ def signature_similarity(spark, d):
     return all_.select("l_suppkey", "label", F.round(0.5 * overlap + 0.5 * F.col("agreement") + 1e-9, 5).alias("score"), F.round(confidence + 1e-9, 5).alias("confidence"))
 
 
+@query
+def configuration_sweep(spark, d):
+    """Weights and thresholds of a grid judged in one pass over the scored pairs, and the winner among those within the guard."""
+    agree = pairs.attribute_agreement([(F.col("a.kind"), F.col("b.kind"))])
+    s = _part_pairs(spark, d).select(F.coalesce(agree, F.lit(0.5)).alias("agree"), pairs.aspect_similarity(F.col("a.p_retailprice"), F.col("b.p_retailprice")).alias("aspect"), (F.col("a.word") == F.col("b.word")).alias("y"))
+    grid = F.explode(F.array(*[F.struct(F.lit(w / 4).alias("weight"), F.lit(t / 10).alias("threshold")) for w in range(5) for t in (5, 7, 9)])).alias("g")
+    g = s.select("agree", "aspect", "y", grid)
+    hit = F.round(F.col("g.weight") * F.col("agree") + (1 - F.col("g.weight")) * F.col("aspect"), 9) >= F.col("g.threshold")
+    per = g.groupBy(F.col("g.weight").alias("weight"), F.col("g.threshold").alias("threshold")).agg(F.count_if(hit).alias("n_pairs"), F.count_if(hit & F.col("y")).alias("n_hits"), F.count_if("y").alias("n_true"))
+    per = per.withColumn("precision", F.round(F.try_divide("n_hits", "n_pairs"), 6)).withColumn("recall", F.round(F.try_divide("n_hits", "n_true"), 6))
+    safe = F.coalesce(F.col("precision") >= 0.05, F.lit(False))
+    first = F.row_number().over(Window.orderBy(F.desc("safe"), F.desc("recall"), F.desc("precision"), "weight", "threshold"))  # fifteen rows
+    return per.withColumn("safe", safe).withColumn("wins", (first == 1) & F.col("safe")).drop("n_true")
+
+
+@query
+def assignment_sweep(spark, d):
+    """The assignment run again at every threshold of a grid, in one job: what must hold of each."""
+    scratch = Scratch(spark, "sweep")
+    p = scratch.save(pairs.symmetric_union(_recalled(spark, d)).select(F.concat_ws("-", F.least("a_side", "b_side"), F.greatest("a_side", "b_side")).alias("sides"), "a", "b", "score", (F.col("a_side") < F.col("b_side")).alias("up")))
+    p = p.select("sides", F.when(F.col("up"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("up"), F.col("b")).otherwise(F.col("a")).alias("b"), "score")
+    grid = p.withColumn("threshold", F.explode(F.array(*[F.lit(x / 10) for x in (1, 2, 3)]))).filter("score > threshold")
+    got = scratch.save(folds.assign_pairs(grid, ["threshold", "sides"], 0.0))
+    free = grid.join(got.select("threshold", "sides", "a"), ["threshold", "sides", "a"], "left_anti").join(got.select("threshold", "sides", "b"), ["threshold", "sides", "b"], "left_anti")
+    twice = got.groupBy("threshold", "sides", "a").count().filter("count > 1").unionAll(got.groupBy("threshold", "sides", "b").count().filter("count > 1"))
+    n = lambda df, name: df.groupBy("threshold").agg(F.count(F.lit(1)).alias(name))
+    out = n(grid, "n_pairs").join(n(free, "left_free"), "threshold", "left").join(n(twice, "twice"), "threshold", "left")
+    return out.fillna(0, ["left_free", "twice"])
+
+
+@query
+def context_sidecar(spark, d):
+    """A row for every recalled pair with the evidence of its parts, null where the neighbourhood doesn't cover both."""
+    p = pairs.symmetric_union(_recalled(spark, d)).select("a", "b")
+    evidence = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
+    x, y = (evidence.select(F.col("id").alias(c), F.col("mean").alias(f"m{c}"), F.col("n").alias(f"n{c}")) for c in ("a", "b"))
+    j = p.join(x, "a", "left").join(y, "b", "left")
+    return j.select("a", "b", F.round(F.exp(-F.abs(F.ln(F.col("ma") / F.col("mb")))) + 1e-9, 5).alias("context"), F.when(F.col("na").isNotNull() & F.col("nb").isNotNull(), F.least(F.lit(1.0), (F.col("na") + F.col("nb")) / 100)).alias("confidence"))
+
+
+@query
+def precision_by_group(spark, d):
+    """Long documents as hits by language, kind and both, with the interval and whether enough have been seen to stop."""
+    docs = table(spark, d, "documents").select(F.coalesce("lang", F.lit("?")).alias("lang"), "doc_kind", (F.col("n_chars") > 400).alias("hit"))
+    g = docs.groupingSets([["lang", "doc_kind"], ["lang"], ["doc_kind"], []], "lang", "doc_kind").agg(F.grouping_id("lang", "doc_kind").cast("int").alias("level"), F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("hits"))
+    low, high = K.wilson(F.col("hits"), F.col("n"))
+    return g.select("level", "lang", "doc_kind", "n", "hits", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), (F.col("n") >= K.required_trials(F.col("hits") / F.col("n"), 0.1)).alias("enough"))
+
+
+@query
+def sampled_events(spark, d):
+    """Eight events of each user at least two days apart: half by value, half by even steps."""
+    e = table(spark, d, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000).alias("day"), "value")
+    return folds.quota_sample(e, ["user_id"], "day", "value", quota=8, gap=2.0).select("user_id", "event_id")
+
+
+@query
+def covering_orders(spark, d):
+    """Three orders of each customer that cover the most suppliers."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    sets = li.groupBy("o_custkey", "o_orderkey").agg(F.collect_set("l_suppkey").alias("suppliers"))
+    return folds.greedy_cover(sets, ["o_custkey"], "o_orderkey", "suppliers", 3)
+
+
 # --- data sets and logs -----------------------------------------------------------------------------------------------
 
 

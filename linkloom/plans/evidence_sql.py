@@ -198,6 +198,24 @@ SELECT run, count(*) AS n_links, count(*) FILTER (WHERE above IS NULL) AS n_miss
 al AS (SELECT DISTINCT name AS alias, p_type AS target FROM q WHERE p_size = 1 UNION SELECT DISTINCT string_split(name, ' ')[1], p_type FROM q WHERE p_size = 2),
 h AS (SELECT p_partkey, count(DISTINCT target) AS n, min(target) AS target FROM (SELECT DISTINCT p_partkey, name FROM q) JOIN al ON contains(' ' || name || ' ', ' ' || alias || ' ') OR contains(' ' || alias || ' ', ' ' || name || ' ') GROUP BY 1)
 SELECT q.p_partkey, CASE WHEN n = 1 THEN target END AS target, coalesce(n, 0) AS n_targets FROM q LEFT JOIN h ON q.p_partkey = h.p_partkey""",
+    "configuration_sweep": f"""WITH {_PARTS},
+s AS (SELECT CASE WHEN nk = 1 THEN CASE WHEN ka = kb THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE 0.5::DOUBLE END AS agree, aspect, wa = wb AS y FROM scored),
+g AS (SELECT wt / 4.0::DOUBLE AS weight, t / 10.0::DOUBLE AS threshold FROM (SELECT unnest(range(5)) AS wt), (SELECT unnest([5, 7, 9]) AS t)),
+h AS (SELECT weight, threshold, y, round(weight * agree + (1 - weight) * aspect, 9) >= threshold AS hit FROM s, g),
+w AS (SELECT weight, threshold, count(*) FILTER (WHERE hit) AS n_pairs, count(*) FILTER (WHERE hit AND y) AS n_hits, count(*) FILTER (WHERE y) AS n_true FROM h GROUP BY 1, 2),
+q AS (SELECT weight, threshold, n_pairs, n_hits, CASE WHEN n_pairs > 0 THEN round(n_hits / n_pairs, 6) END AS precision, CASE WHEN n_true > 0 THEN round(n_hits / n_true, 6) END AS recall FROM w),
+r AS (SELECT *, coalesce(precision >= 0.05, false) AS safe FROM q)
+SELECT *, safe AND row_number() OVER (ORDER BY safe DESC, recall DESC NULLS LAST, precision DESC NULLS LAST, weight, threshold) = 1 AS wins FROM r""",
+    "assignment_sweep": f"WITH {_recall(3)} SELECT t / 10.0::DOUBLE AS threshold, count(*) AS n_pairs, 0 AS left_free, 0 AS twice FROM pairs, (SELECT unnest([1, 2, 3]) AS t) WHERE score > t / 10.0::DOUBLE GROUP BY 1",
+    "context_sidecar": f"""WITH {_recall(3)},
+e AS (SELECT user_id AS id, avg(value) AS m, count(*) AS n FROM events GROUP BY 1), p AS (SELECT DISTINCT a, b FROM pairs)
+SELECT a, b, round(exp(-abs(ln(x.m / y.m))) + 1e-9, 5) AS context, CASE WHEN x.n IS NOT NULL AND y.n IS NOT NULL THEN least(1.0::DOUBLE, (x.n + y.n) / 100.0::DOUBLE) END AS confidence FROM p LEFT JOIN e x ON a = x.id LEFT JOIN e y ON b = y.id""",
+    "precision_by_group": """
+WITH d AS (SELECT coalesce(lang, '?') AS lang, doc_kind, n_chars > 400 AS hit FROM documents),
+g AS (SELECT lang, doc_kind, CAST(2 * grouping(lang) + grouping(doc_kind) AS INTEGER) AS level, count(*) AS n, count(*) FILTER (WHERE hit) AS hits FROM d GROUP BY GROUPING SETS ((lang, doc_kind), (lang), (doc_kind), ())),
+p AS (SELECT *, hits::DOUBLE / n AS p, n::DOUBLE AS x FROM g),
+q AS (SELECT *, (p + 1.96 * 1.96 / (2 * x)) / (1 + 1.96 * 1.96 / x) AS mid, 1.96 * sqrt(p * (1 - p) / x + 1.96 * 1.96 / (4 * x * x)) / (1 + 1.96 * 1.96 / x) AS half FROM p)
+SELECT level, lang, doc_kind, n, hits, round(greatest(0.0, mid - half), 6) AS low, round(least(1.0, mid + half), 6) AS high, half <= 0.1 + 1e-9 AS enough FROM q""",
     "link_buckets": f"""
 WITH s AS (SELECT {_ID('tracklet_id')} AS t, min({_ID('identity_id')}) AS i FROM sf1_sample WHERE contains(lower(identity_id), '_anchor_') AND {_ID('tracklet_id')} IS NOT NULL GROUP BY 1),
 e AS (SELECT {_ID('tracklet_a')} AS a, {_ID('tracklet_b')} AS b FROM merge_pairs), p AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM e WHERE a <> b)

@@ -158,3 +158,15 @@ def test_most_pairs_before_the_best_sum(spark):
     df = spark.createDataFrame(rows, "g string, a long, b long, score double")
     run = lambda **kw: {tuple(r)[:3] for r in folds.assign_pairs(df, ["g"], -9.0 if kw else 0.0, **kw).collect()}
     assert run() == {("g", 1, 10)} and run(most_first=True) == {("g", 1, 11), ("g", 2, 10), ("h", 1, 1)}
+
+
+def test_quota_and_cover(spark):
+    rows = [("u", float(k), float((k * 7) % 10)) for k in range(10)] + [("v", 1.0, 5.0)]
+    got = {}
+    for r in folds.quota_sample(spark.createDataFrame(rows, "g string, at double, s double"), ["g"], "at", "s", quota=4, gap=2.0).collect():
+        got.setdefault(r["g"], []).append(r["at"])
+    # By score 7 (9) and 4 (8); of the rest 0, 1, 2, 3, 5, 6, 8, 9 every fourth: 0, then 5 is too near, then what fits.
+    assert sorted(got["u"]) == [0.0, 2.0, 4.0, 7.0] and got["v"] == [1.0]
+    sets = [("g", 1, ["a", "b"]), ("g", 2, ["b", "c", "d"]), ("g", 3, ["a"]), ("g", 4, None), ("h", 9, [])]
+    out = folds.greedy_cover(spark.createDataFrame(sets, "g string, k int, m array<string>"), ["g"], "k", "m", 3).collect()
+    assert [tuple(r) for r in sorted(out, key=lambda r: r["place"])] == [("g", 2, 1, 3), ("g", 1, 2, 1)]
