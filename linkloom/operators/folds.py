@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.functions import kernels
+from linkloom.session import Scratch
+
 # --- assignment -------------------------------------------------------------------------------------------------------
 
 
@@ -168,36 +171,40 @@ def match_most(edges: list[tuple], order: Iterable[int] | None = None) -> dict:
 
 
 def match_frames(truth: DataFrame, found: DataFrame, frame: list[str], label: str, threshold: float, *, by_total: bool = False) -> DataFrame:
-    """Matchings of the most boxes, or with by_total of the largest sum of overlaps, per frame and label: ``<frame>, <label>, truth_id, found_id, iou``, both sides kept.
+    """Matchings of the most boxes, or with by_total of the largest sum of overlaps, per frame and label: ``<frame>,
+    <label>, truth_id, found_id, iou``, both sides kept.
 
-    Both: ``<frame>, <label>, id, x1..y2``. Boxes overlapping by the threshold or more may match, tried from the largest
-    overlap on, then by ids; a box without a match has a null partner.
+    Both: ``<frame>, <label>, id, x1..y2``, ids not null and unique in a frame and label, which aren't null either. Boxes
+    overlapping by the threshold or more may match, tried from the largest overlap on, then by ids; a box without a match
+    has a null partner. Overlaps are joined by frame; only frames in which some box has a choice are folded in Python.
     """
     keys = [*frame, label]
-    rows = truth.select(*keys, "id", *BOX, F.lit(True).alias("real")).unionByName(found.select(*keys, "id", *BOX, F.lit(False).alias("real")))
+    side = lambda df, name: df.select(*keys, F.col("id").alias(f"{name}_id"), F.struct(*BOX).alias(f"{name}_box"))
+    t, f = side(truth, "truth"), side(found, "found")
+    edges = t.join(f, keys).select(*keys, "truth_id", "found_id", kernels.iou("truth_box", "found_box").alias("iou")).filter(F.col("iou") >= threshold)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for key, part in pdf.groupby(keys, dropna=False):
-            t, f = part[part["real"]].sort_values("id"), part[~part["real"]].sort_values("id")
-            over = iou_matrix(t[BOX].to_numpy(float), f[BOX].to_numpy(float))
-            ids, others = t["id"].tolist(), f["id"].tolist()
-            near = sorted((-over[i, j], i, j) for i, j in zip(*np.nonzero(over >= threshold), strict=True))
-            if by_total:
-                scores: list[dict[int, float]] = [{} for _ in ids]
-                for s, i, j in near:
-                    scores[i][int(j)] = float(-s)
-                chosen = {i: j for i, j in enumerate(assign_sparse(scores, 0.0)) if j >= 0}
+        pdf = pdf.drop(columns="_bucket").sort_values([*keys, "iou", "truth_id", "found_id"], ascending=[True] * len(keys) + [False, True, True]).reset_index(drop=True)
+        a, b, overlap = pdf["truth_id"].tolist(), pdf["found_id"].tolist(), pdf["iou"].tolist()
+        keep: list[int] = []
+        for rows in pdf.groupby(keys, sort=False).indices.values():
+            at = {(a[k], b[k]): k for k in rows}
+            if len(rows) == 1:
+                keep.append(int(rows[0]))
+            elif by_total:
+                left, right = sorted({x for x, _ in at}), sorted({y for _, y in at})
+                place = {y: j for j, y in enumerate(right)}
+                scores: list[dict[int, float]] = [{} for _ in left]
+                for i, x in enumerate(left):
+                    scores[i] = {place[y]: overlap[k] for (z, y), k in at.items() if z == x}
+                keep += [at[left[i], right[j]] for i, j in enumerate(assign_sparse(scores, 0.0)) if j >= 0]
             else:
-                chosen = match_most([(i, j) for _, i, j in near])
-            out += [(*key, ids[i], others[j], over[i, j]) for i, j in chosen.items()]
-            out += [(*key, x, None, None) for i, x in enumerate(ids) if i not in chosen]
-            out += [(*key, None, y, None) for j, y in enumerate(others) if j not in set(chosen.values())]
-        return pd.DataFrame(out, columns=[*keys, "truth_id", "found_id", "iou"])
-
-    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    kind = rows.schema["id"].dataType.simpleString()
-    return in_buckets(rows, keys).groupBy("_bucket").applyInPandas(lambda pdf: run(pdf.drop(columns="_bucket")), f"{kinds}, truth_id {kind}, found_id {kind}, iou double")
+                keep += [at[x] for x in match_most(list(at)).items()]
+        return pdf.iloc[sorted(keep)]
+
+    matched = Scratch(truth.sparkSession, "matched").save(in_buckets(edges, keys).groupBy("_bucket").applyInPandas(run, edges.schema))
+    alone = lambda df, name, other: df.join(matched, [*keys, f"{name}_id"], "left_anti").select(*keys, f"{name}_id", F.lit(None).cast(df.schema[f"{name}_id"].dataType).alias(other), F.lit(None).cast("double").alias("iou"))
+    return matched.unionByName(alone(t, "truth", "found_id")).unionByName(alone(f, "found", "truth_id"))
 
 
 def spaced_best(rows: DataFrame, group: list[str], order: str, score: str, *, share: float, gap: float, most: int) -> DataFrame:

@@ -48,15 +48,18 @@ def stitch(candidates: DataFrame, tracks: DataFrame, *, key: str, forbidden: Dat
         import numpy as np
         import pandas as pd
 
-        links, nodes = pdf[pdf["b"].notna()], pdf[pdf["b"].isna()]
-        barred = np.isneginf(links["score"].astype(float))
-        foes = set(map(tuple, links.loc[barred, ["a", "b"]].astype("int64").to_numpy().tolist()))
-        links = links[~barred].sort_values(["score", "a", "b"], ascending=[False, True, True])
-        side = {int(a): frozenset(t) for a, t in zip(nodes["a"], nodes["times"], strict=True)}
-        head, _ = folds.constrained_union(list(zip(links["a"].astype("int64").tolist(), links["b"].astype("int64").tolist(), strict=True)), side, foes)
-        return pd.DataFrame({key: list(head), "head": list(head.values())})
-
-    heads = rows.groupBy("component").applyInPandas(fold, f"{key} long, head long")
+        pdf = pdf.sort_values(["score", "a", "b"], ascending=[False, True, True]).reset_index(drop=True)
+        a, b, score, times = (pdf[c].tolist() for c in ("a", "b", "score", "times"))
+        is_edge, barred = pdf["b"].notna().to_numpy(), np.isneginf(pdf["score"].to_numpy(float))
+        out: dict[int, int] = {}
+        for at in pdf.groupby("component").indices.values():
+            side = {int(a[k]): frozenset(times[k]) for k in at if not is_edge[k]}
+            foes = {(int(a[k]), int(b[k])) for k in at if is_edge[k] and barred[k]}
+            links = [(int(a[k]), int(b[k])) for k in at if is_edge[k] and not barred[k]]
+            out.update(folds.constrained_union(links, side, foes)[0])
+        return pd.DataFrame({key: list(out), "head": list(out.values())})
+
+    heads = folds.in_buckets(rows, ["component"]).groupBy("_bucket").applyInPandas(fold, f"{key} long, head long")
     return tracks.select(F.col(key)).join(heads, key, "left").select(key, F.coalesce("head", key).alias("head"))
 
 
