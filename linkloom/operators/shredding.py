@@ -188,13 +188,15 @@ def evidence_rows(nodes: DataFrame) -> DataFrame:
     references as a list, one bare value or objects with ``ref``. Null elements and references hold a position only; an
     element in which no reference stands, be its list missing, empty or all nulls, has one row with ref_pos -1 and ref ''.
     """
+    # Every stage that more than one later one reads is written, so that no join is planned twice.
+    scratch = Scratch(nodes.sparkSession, "evidence")
     groups = pivot_scalars(nodes, ["group_id"]).filter("group_id is not null").withColumnRenamed("node", "parent")
     boxes = groups.join(_child(nodes.filter("label = 'member_evidence' and kind in ('object', 'array')"), "box"), [*KEY, "parent"])
     boxes = boxes.select(*KEY, "group_id", F.col("box_node").alias("parent"), "box_kind")
     inside = boxes.join(_child(nodes.filter("parent >= 0"), "e"), [*KEY, "parent"]).withColumnRenamed("parent", "box")
     is_map = F.col("box_kind") == "object"
     bare = Window.partitionBy(*KEY, "box")
-    inside = inside.withColumn("bare", F.max(is_map & F.col("e_label").isin(*ELEMENT_FIELDS)).over(bare))
+    inside = scratch.save(inside.withColumn("bare", F.max(is_map & F.col("e_label").isin(*ELEMENT_FIELDS)).over(bare)))
 
     listed = inside.filter(~is_map).select(*KEY, "group_id", "box", F.lit(None).cast("string").alias("filed"), F.col("e_node").alias("node"), F.col("e_kind").alias("kind"), F.col("e_ordinal").alias("o1"), F.lit(0).alias("o2"))
     alone = inside.filter(is_map & F.col("bare")).select(*KEY, "group_id", "box", F.lit(None).cast("string").alias("filed"), F.col("box").alias("node"), F.lit("object").alias("kind"), F.lit(0).alias("o1"), F.lit(0).alias("o2")).distinct()
@@ -208,17 +210,18 @@ def evidence_rows(nodes: DataFrame) -> DataFrame:
 
     named = elements.join(pivot_scalars(nodes, ["entity_id", "source"]), [*KEY, "node"], "left")
     named = named.select(*KEY, "group_id", "evidence_pos", F.coalesce("entity_id", "filed", F.lit("")).alias("entity_id"), F.coalesce("source", F.lit("")).alias("source"), F.col("node").alias("parent"))
+    named = scratch.save(named)
 
     refs = _child(nodes.filter("label = 'refs'"), "r")
-    top = named.join(refs, [*KEY, "parent"], "left").withColumnRenamed("parent", "node")
+    top = scratch.save(named.join(refs, [*KEY, "parent"]).withColumnRenamed("parent", "node"))
     lists = top.filter("r_kind = 'array'").withColumn("parent", F.col("r_node"))
-    cells = lists.drop("r_node", "r_label", "r_ordinal", "r_kind", "r_value").join(refs, [*KEY, "parent"], "left").withColumn("ref_pos", F.col("r_ordinal"))
+    cells = lists.drop("r_node", "r_label", "r_ordinal", "r_kind", "r_value").join(refs, [*KEY, "parent"]).withColumn("ref_pos", F.col("r_ordinal"))
     ones = top.filter("r_kind in ('string', 'number', 'boolean', 'object')").withColumn("ref_pos", F.lit(0))
     base = [*KEY, "group_id", "evidence_pos", "entity_id", "source"]
-    held = cells.filter("r_node is not null").select(*base, "node", "ref_pos", "r_node", "r_kind", "r_value").unionByName(ones.select(*base, "node", "ref_pos", "r_node", "r_kind", "r_value"))
+    held = cells.select(*base, "node", "ref_pos", "r_node", "r_kind", "r_value").unionByName(ones.select(*base, "node", "ref_pos", "r_node", "r_kind", "r_value"))
     inner = pivot_scalars(nodes, ["ref"]).withColumnRenamed("node", "r_node")
     held = held.join(inner, [*KEY, "r_node"], "left").withColumn("ref", F.when(F.col("r_kind") == "object", F.col("ref")).otherwise(F.col("r_value")))
-    rows = held.filter("ref is not null").select(*base, "ref_pos", "ref", F.col("node").alias("held_by"))
+    rows = scratch.save(held.filter("ref is not null").select(*base, "ref_pos", "ref", F.col("node").alias("held_by")))
     # Whatever the list holds, an element in which no reference stands has the row that says so.
     some = rows.select(*KEY, F.col("held_by").alias("parent")).distinct()
     none = named.join(some, [*KEY, "parent"], "left_anti").select(*base, F.lit(-1).alias("ref_pos"), F.lit("").alias("ref"))
