@@ -798,6 +798,82 @@ def phrase_ranking(spark, d):
     return per.join(F.broadcast(total)).select("event_type", "hits", "false_hits", "fragments", F.round(score, 6).alias("score"))
 
 
+@query
+def pair_metrics(spark, d):
+    """Prices of urgent and other orders as scores: means, a low quantile of the one and a high one of the other, by status."""
+    from linkloom.operators import groups
+
+    o = table(spark, d, "orders").select("o_orderstatus", F.when(F.col("o_orderpriority") == "1-URGENT", "own").otherwise("other").alias("kind"), F.col("o_totalprice").alias("score"))
+    o = o.withColumn("g", F.concat_ws("|", "o_orderstatus", "kind"))
+    ranks = groups.nearest_ranks(o, "g", "score", {"p10": 0.1, "p95": 0.95})
+    means = o.groupBy("g", "o_orderstatus", "kind").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"))
+    j = means.join(ranks, "g").groupBy("o_orderstatus").agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}") for k, c in (("own", "n"), ("other", "n"), ("own", "mean"), ("other", "mean"), ("own", "p10"), ("other", "p95"))])
+    return j.select("o_orderstatus", "own_n", "other_n", F.round(F.col("own_mean") - F.col("other_mean"), 3).alias("separation"), "own_p10", "other_p95")
+
+
+@query
+def identity_checks(spark, d):
+    """What is wrong with labelled samples: tracklets of several identities, names that belong to another video, repeats."""
+    s = table(spark, d, "sf1_sample").select(id_form("tracklet_id").alias("t"), id_form("video_id").alias("v"), id_form("identity_id").alias("i"))
+    known = s.filter("t rlike '_t[0-9]+$' and i rlike '_anchor_'")
+    per = known.groupBy("t").agg(F.countDistinct("i").alias("n_i"), F.count(F.lit(1)).alias("n"))
+    video = F.regexp_replace("t", "_t[0-9]+$", "")
+    wrong = known.agg(F.count_if(F.col("v").isNotNull() & (F.col("v") != video)).alias("other_video"), F.count_if(F.col("v").isNull()).alias("no_video"))
+    return per.agg(F.count(F.lit(1)).alias("n_tracklets"), F.count_if(F.col("n_i") > 1).alias("several_identities"), F.count_if(F.col("n") > 1).alias("repeated")).join(wrong)
+
+
+@query
+def edge_reasons(spark, d):
+    """Stitched pairs by all reasons to reject them."""
+    video = lambda c: F.regexp_replace(id_form(c), "_t[0-9]+$", "")
+    reasons = pairs.reasons({
+        "NO_END": id_form("a").isNull() | id_form("b").isNull(), "SELF": F.coalesce(id_form("a") == id_form("b"), F.lit(False)), "LOW_COSINE": F.coalesce(F.col("cosine") < 0.8, F.lit(True)),
+        "OTHER_VIDEO": F.coalesce(video("a") != video("b"), F.lit(False)), "NO_MODE": F.coalesce(F.trim("mode") == "", F.lit(True)),
+    })
+    return table(spark, d, "stitch_map").groupBy(F.array_join(reasons, ",").alias("reasons")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def vector_rules(spark, d):
+    """Broken rules of the stored vectors, by table."""
+    from linkloom.sources.files import vector_violations
+
+    out = None
+    for name in ("sf1_sample", "track_embedding"):
+        bad = vector_violations(table(spark, d, name), "vec_id", "vector", 96).select(F.lit(name).alias("source"), F.explode("rules").alias("rule")).groupBy("source", "rule").agg(F.count(F.lit(1)).alias("n"))
+        out = bad if out is None else out.unionByName(bad)
+    return out
+
+
+@query
+def region_rows(spark, d):
+    """One row a user as a region: agreed type, mean of the sure values, the reasons that hold it back, and its status."""
+    e = table(spark, d, "events")
+    n = e.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    place = Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type")
+    top = n.withColumn("second", F.lead("n").over(place)).withColumn("all", F.sum("n").over(Window.partitionBy("user_id"))).withColumn("mean", F.sum("total").over(Window.partitionBy("user_id")) / F.col("all")).withColumn("rn", F.row_number().over(place)).filter("rn = 1")
+    why = pairs.reasons({"TIE": F.coalesce(F.col("second") == F.col("n"), F.lit(False)), "WEAK": F.col("n") < 0.25 * F.col("all"), "FEW": F.col("all") < 10})
+    r = top.select("user_id", F.when(F.col("n") > F.coalesce("second", F.lit(0)), F.col("event_type")).alias("agreed"), F.col("all").alias("n"), F.round("mean", 4).alias("mean"), F.array_join(why, ",").alias("reasons"))
+    return r.withColumn("status", F.when(F.col("reasons") == "", "CONFIRMED").when(F.col("agreed").isNull(), "CONFLICT").otherwise("NEEDS_REVIEW"))
+
+
+@query
+def unique_choices(spark, d):
+    """Each user's types as a scored answer: the one alone at the top after scores are held within 0 to 100, or none."""
+    v = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.round(F.sum("value") / 5, 3).alias("score"))
+    answer = v.groupBy("user_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("event_type", "score")))).alias("answer"))
+    return answer.select("user_id", X.scored_choice(F.col("answer"))[1].alias("choice"))
+
+
+@query
+def quarantined_scores(spark, d):
+    """Shares of a user's types; with too few events all but views are set to nothing."""
+    v = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    m = v.groupBy("user_id").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    held = F.transform_values("m", lambda k, x: F.when((F.col("all") >= 66) | (k == "view"), F.round(x / F.col("all"), 6)).otherwise(F.lit(0.0)))
+    return m.select("user_id", F.explode(held).alias("event_type", "share"))
+
+
 # --- labels -----------------------------------------------------------------------------------------------------------
 
 

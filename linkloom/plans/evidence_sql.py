@@ -265,6 +265,36 @@ SELECT r.p_brand, r.p_type, CAST(place AS INTEGER) AS place, CAST(rank AS INTEGE
 WITH e AS (SELECT event_type, user_id, count(*) AS n FROM events WHERE value > 15 GROUP BY 1, 2), t AS (SELECT count(DISTINCT user_id) AS total FROM events WHERE user_id % 2 = 0),
 p AS (SELECT event_type, count(*) FILTER (WHERE user_id % 2 = 0) AS hits, count(*) FILTER (WHERE user_id % 2 <> 0) AS false_hits, CAST(coalesce(sum(n - 1) FILTER (WHERE user_id % 2 = 0), 0) AS BIGINT) AS fragments FROM e GROUP BY 1)
 SELECT event_type, hits, false_hits, fragments, round(hits / total - 0.002::DOUBLE * false_hits - 0.0001::DOUBLE * fragments, 6) AS score FROM p, t""",
+    "pair_metrics": """
+WITH g AS (SELECT o_orderstatus, o_orderpriority = '1-URGENT' AS y, count(*) AS n, avg(o_totalprice) AS mean, list_sort(list(o_totalprice)) AS v FROM orders GROUP BY 1, 2)
+SELECT o_orderstatus, max(n) FILTER (WHERE y) AS own_n, max(n) FILTER (WHERE NOT y) AS other_n, round(max(mean) FILTER (WHERE y) - max(mean) FILTER (WHERE NOT y), 3) AS separation,
+       max(v[CAST(least(n - 1, floor(n * 0.1::DOUBLE)) AS BIGINT) + 1]) FILTER (WHERE y) AS own_p10, max(v[CAST(least(n - 1, floor(n * 0.95::DOUBLE)) AS BIGINT) + 1]) FILTER (WHERE NOT y) AS other_p95 FROM g GROUP BY 1""",
+    "identity_checks": f"""
+WITH s AS (SELECT {_ID('tracklet_id')} AS t, {_ID('video_id')} AS v, {_ID('identity_id')} AS i FROM sf1_sample), k AS (SELECT * FROM s WHERE regexp_matches(t, '_t[0-9]+$') AND contains(i, '_anchor_')),
+p AS (SELECT t, count(DISTINCT i) AS n_i, count(*) AS n FROM k GROUP BY 1)
+SELECT (SELECT count(*) FROM p) AS n_tracklets, (SELECT count(*) FROM p WHERE n_i > 1) AS several_identities, (SELECT count(*) FROM p WHERE n > 1) AS repeated,
+       (SELECT count(*) FROM k WHERE v <> regexp_replace(t, '_t[0-9]+$', '')) AS other_video, (SELECT count(*) FROM k WHERE v IS NULL) AS no_video""",
+    "edge_reasons": f"""
+WITH s AS (SELECT {_ID('a')} AS a, {_ID('b')} AS b, cosine, mode FROM stitch_map),
+r AS (SELECT [CASE WHEN a IS NULL OR b IS NULL THEN 'NO_END' END, CASE WHEN a = b THEN 'SELF' END, CASE WHEN cosine IS NULL OR cosine < 0.8 THEN 'LOW_COSINE' END,
+  CASE WHEN regexp_replace(a, '_t[0-9]+$', '') <> regexp_replace(b, '_t[0-9]+$', '') THEN 'OTHER_VIDEO' END, CASE WHEN coalesce(trim(mode), '') = '' THEN 'NO_MODE' END] AS r FROM s)
+SELECT array_to_string(list_filter(r, lambda x: x IS NOT NULL), ',') AS reasons, count(*) AS n FROM r GROUP BY 1""",
+    "vector_rules": """
+WITH v AS (SELECT 'sf1_sample' AS source, vector::DOUBLE[] AS v FROM sf1_sample UNION ALL SELECT 'track_embedding', vector::DOUBLE[] FROM track_embedding),
+o AS (SELECT *, len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) > 0 AS odd, sqrt(coalesce(list_sum(list_transform(v, lambda x: x * x)), 0)) AS norm FROM v),
+r AS (SELECT source, unnest([CASE WHEN v IS NULL THEN 'NULL' END, CASE WHEN len(v) <> 96 THEN 'SHAPE' END, CASE WHEN odd THEN 'NOT_FINITE' END, CASE WHEN v IS NOT NULL AND NOT odd AND norm < 1e-12 THEN 'ZERO' END, CASE WHEN v IS NOT NULL AND NOT odd AND norm >= 1e-12 AND abs(norm - 1) > 1e-3 THEN 'NOT_UNIT' END]) AS rule FROM o)
+SELECT source, rule, count(*) AS n FROM r WHERE rule IS NOT NULL GROUP BY 1, 2""",
+    "region_rows": """
+WITH n AS (SELECT user_id, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2),
+p AS (SELECT *, lead(n) OVER w AS second, CAST(sum(n) OVER (PARTITION BY user_id) AS BIGINT) AS al, sum(total) OVER (PARTITION BY user_id) / sum(n) OVER (PARTITION BY user_id) AS mean, row_number() OVER w AS rn FROM n WINDOW w AS (PARTITION BY user_id ORDER BY n DESC, event_type)),
+r AS (SELECT user_id, CASE WHEN n > coalesce(second, 0) THEN event_type END AS agreed, al AS n, round(mean, 4) AS mean, array_to_string(list_filter([CASE WHEN second = n THEN 'TIE' END, CASE WHEN n < 0.25 * al THEN 'WEAK' END, CASE WHEN al < 10 THEN 'FEW' END], lambda x: x IS NOT NULL), ',') AS reasons FROM p WHERE rn = 1)
+SELECT *, CASE WHEN reasons = '' THEN 'CONFIRMED' WHEN agreed IS NULL THEN 'CONFLICT' ELSE 'NEEDS_REVIEW' END AS status FROM r""",
+    "unique_choices": """
+WITH v AS (SELECT user_id, event_type, least(100.0::DOUBLE, greatest(0.0::DOUBLE, round(sum(value) / 5, 3))) AS score FROM events GROUP BY 1, 2), m AS (SELECT *, max(score) OVER (PARTITION BY user_id) AS top FROM v)
+SELECT user_id, CASE WHEN count(*) FILTER (WHERE score = top) = 1 THEN min(event_type) FILTER (WHERE score = top) END AS choice FROM m GROUP BY 1""",
+    "quarantined_scores": """
+WITH v AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), a AS (SELECT *, sum(n) OVER (PARTITION BY user_id) AS al FROM v)
+SELECT user_id, event_type, CASE WHEN al >= 66 OR event_type = 'view' THEN round(n / al, 6) ELSE 0.0::DOUBLE END AS share FROM a""",
     "label_slugs": """
 WITH s AS (SELECT label, substr(trim(regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g'), '_'), 1, 40) AS s FROM object_entity WHERE label IS NOT NULL)
 SELECT CASE WHEN s <> '' THEN s ELSE 'anchor_' || substr(sha256(label), 1, 10) END AS slug, count(*) AS n FROM s GROUP BY 1""",
