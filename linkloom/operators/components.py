@@ -28,4 +28,5 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         scratch.drop(labels)
         labels = fresh
         if not watch.get.get("changed"):
+            scratch.drop(both)
             return labels.select(F.col("u").alias("node"), F.col("l").alias("component"))
