@@ -56,6 +56,8 @@ def group_pairs(pairs: DataFrame, a: str, b: str, *, thin_level: float = THIN_LE
     rest = rest.select(F.when(F.col("in_u"), F.lit(name)).otherwise(F.col("u")).alias("u"), F.when(F.col("in_v"), F.lit(name)).otherwise(F.col("v")).alias("v"))
     stars = propagate_minima(scratch, rest.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
+    scratch.drop(edges)
+
     # The visited vertices may hang on a smaller one that the search did not reach.
     over = stars.filter(F.col("u") == name).head()
     giant = over["v"] if over else name

@@ -57,6 +57,7 @@ def related_blocks(records: DataFrame, key: str, entities: list[str], *, stand_i
             break
         state = (new, after)
         by_entity = links.join(new, "r").groupBy("e").agg(F.min("l").alias("l"))
+    scratch.drop(links)
     return rows.join(new, "r", "left").select(F.col("r").alias(key), F.coalesce("l", "r").alias("block_id"))
 
 
