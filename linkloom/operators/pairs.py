@@ -168,6 +168,36 @@ def aspect_similarity(a: Column, b: Column) -> Column:
     return F.when((a > 0) & (b > 0), F.exp(-F.abs(F.ln(a / b)))).otherwise(0.5)
 
 
+def rounded(x: Column, digits: int = 6) -> Column:
+    """``round(x, digits)`` without its decimal arithmetic where no tie is near.
+
+    Near ties, nulls and values that are negative, huge or not finite go by round itself. x should be a plain column, as it
+    is written out several times.
+    """
+    scaled = x * float(10**digits)
+    clear = (x >= 0) & (x <= 1000) & (F.abs(scaled - F.floor(scaled) - 0.5) > 1e-6)
+    return F.when(clear, F.floor(scaled + 0.5) / float(10**digits)).otherwise(F.round(x, digits))
+
+
+def block_pairs(rows: DataFrame, *, block: list[str], key: str, chunk_rows: int = 2048) -> DataFrame:
+    """Rows of one block joined with each other, ``a.key < b.key``, under the aliases a and b.
+
+    A block is cut into chunks of about chunk_rows, and two chunks meet as one unit of work, so that neither the file a
+    small table is read from nor a large block decides how many tasks share the pairs. Null keys and blocks pair with
+    nothing.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    told = rows.filter(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in (*block, key)]))
+    counts = told.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("_n"))
+    placed = told.join(counts, block).withColumn("_c", F.pmod(F.xxhash64(key), F.col("_n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    a = placed.withColumn("_i", F.col("_c")).withColumn("_j", every).repartition(tasks, *block, "_i", "_j").alias("a")
+    b = placed.withColumn("_j", F.col("_c")).withColumn("_i", every).repartition(tasks, *block, "_i", "_j").hint("merge").alias("b")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*block, "_i", "_j")])
+    return a.join(b, same & (F.col(f"a.{key}") < F.col(f"b.{key}")))
+
+
 def quantile_transplant(df: DataFrame, group: list[str], base: str, new: str, key: list[str], out: str = "calibrated") -> DataFrame:
     """Within each group the i-th best row by ``new`` gets the i-th largest ``base`` value: order changes, values don't.
 
