@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
 import numpy as np
@@ -198,6 +200,101 @@ def block_pairs(rows: DataFrame, *, block: list[str], key: str, chunk_rows: int
     return a.join(b, same & (F.col(f"a.{key}") < F.col(f"b.{key}")))
 
 
+def swept_pairs(rows: DataFrame, *, block: list[str], key: str, value: str, same: str, settings: list[tuple[float, float]], digits: int, label: str | None = None, unknown: str = "unknown") -> DataFrame:
+    """How many pairs of each block's rows reach every threshold, counted from sorted values without forming a pair.
+
+    settings: weight and threshold. A pair's score is ``round(weight * agree + (1 - weight) * aspect, digits)``, aspect
+    that of ``aspect_similarity`` and agree 1 where the labels are known and equal, 0 where known and different, else one
+    half. Result ``weight, threshold, n_pairs, n_hits, n_true, n_all``: pairs that reach the threshold, those of them with
+    an equal value of ``same``, all with an equal one, and all pairs; one row a setting, none if there is no pair. Rows with
+    equal keys are no pair, nor are rows with a null key or block.
+
+    One task holds the values of a block. For every value the smallest one that still reaches is found by binary search;
+    what lies within 1e-12 of the limit is judged by the score itself. A value of NaN reaches every threshold, as NaN is
+    the largest number; two whose ratio leaves the range of doubles have aspect 0.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    kind = F.lit(None).cast("string") if label is None else F.when(F.col(label) != unknown, F.col(label).cast("string"))
+    x = rows.select(*block, F.col(key).alias("_key"), F.col(value).cast("double").alias("_v"), F.col(same).alias("_same"), kind.alias("_kind"))
+    x = x.filter(reduce(lambda p, q: p & q, [F.col(c).isNotNull() for c in (*block, "_key")]))
+    unit = Decimal(1).scaleb(-digits)
+
+    def reaches(weight: float, threshold: float, agree: float, aspect: float) -> bool:
+        score = weight * agree + (1 - weight) * aspect
+        return float(Decimal(repr(score)).quantize(unit, ROUND_HALF_UP)) >= threshold
+
+    def count(group: pa.Table) -> pa.Table:
+        v = group.column("_v").to_numpy()
+        if group.column("_v").null_count:
+            v = np.where(np.asarray(group.column("_v").is_valid()), v, 0.0)
+        word, tag, ident = (group.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_same", "_kind", "_key"))
+        flat, odd = v <= 0, np.isnan(v)
+        levels, rank = np.unique(np.where(flat | odd, 1.0, v), return_inverse=True)
+        width = len(levels) + 1
+        # By agreement: the lowest rank that reaches each setting from every rank.
+        limits = {g: [_lowest(levels, w, t, g, digits, reaches) for w, t in settings] for g in (0.5, 0.0, 1.0)}
+        steady = {g: np.array([reaches(w, t, g, 0.5) for w, t in settings]) for g in limits}
+
+        def pairs_of(part: np.ndarray, at: np.ndarray) -> dict[float, np.ndarray]:
+            """Pairs within each part of the rows at that reach each setting, by agreement; None has all of them."""
+            part, own = part[at], ~(flat | odd)[at]
+            two = lambda mask: int((n := np.bincount(part[mask])) @ (n - 1)) // 2 if mask.any() else 0
+            everything, usable, plain = two(np.ones(len(at), bool)), two(~flat[at]), two(own)
+            codes = np.sort(part[own] * width + rank[at][own])
+            first = codes - codes % width
+            place = np.arange(len(codes))
+            out = {None: np.full(len(settings), everything)}
+            for g, lowest in limits.items():
+                met = [plain if low is None else int(np.maximum(0, place - np.searchsorted(codes, first + low[codes % width])).sum()) for low in lowest]
+                out[g] = np.array(met) + (usable - plain) + steady[g] * (everything - usable)
+            return out
+
+        def hits(at: np.ndarray, split: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            known = at[tag[at] >= 0]
+            all_, told, alike = pairs_of(_joint(split, len(v)), at), pairs_of(_joint(split, len(v)), known), pairs_of(_joint([*split, tag], len(v)), known)
+            return all_[0.5] - told[0.5] + told[0.0] - alike[0.0] + alike[1.0], all_[None]
+
+        every, named = np.arange(len(v)), np.flatnonzero(word >= 0)
+        n_pairs, n_all = hits(every, [])
+        n_hits, n_true = hits(named, [word])
+        if (twice := np.bincount(ident) > 1).any():
+            again = twice[ident]
+            less = [*hits(every[again], [ident]), *hits(named[again[named]], [ident, word])]
+            n_pairs, n_all, n_hits, n_true = n_pairs - less[0], n_all - less[1], n_hits - less[2], n_true - less[3]
+        w, t = zip(*settings, strict=True)
+        return pa.table({"weight": pa.array(w, pa.float64()), "threshold": pa.array(t, pa.float64()), "n_pairs": n_pairs, "n_hits": n_hits, "n_true": n_true, "n_all": n_all})
+
+    per = x.repartition(tasks, *block).groupBy(*block).applyInArrow(count, "weight double, threshold double, n_pairs long, n_hits long, n_true long, n_all long")
+    sums = [F.sum(c).alias(c) for c in ("n_pairs", "n_hits", "n_true", "n_all")]
+    return per.groupBy("weight", "threshold").agg(*sums).filter("n_all > 0")
+
+
+def _joint(columns: list[np.ndarray], n: int) -> np.ndarray:
+    """Dense numbers of the combinations of n rows' codes, which start at -1."""
+    out = np.zeros(n, np.int64)
+    for c in columns:
+        out = np.unique(out * (c.max(initial=0) + 2) + c + 1, return_inverse=True)[1].reshape(-1)
+    return out
+
+
+def _lowest(levels: np.ndarray, weight: float, threshold: float, agree: float, digits: int, reaches) -> np.ndarray | None:
+    """For each of the sorted levels the rank of the smallest one whose aspect with it reaches the threshold, its own rank
+    plus one where none does; None where every pair does."""
+    own = np.arange(len(levels))
+    if reaches(weight, threshold, agree, 0.0):
+        return None
+    if not reaches(weight, threshold, agree, 1.0):
+        return own + 1
+    limit = (threshold - 0.5 * 10.0**-digits - weight * agree) / (1 - weight)
+    low = np.searchsorted(levels, levels * (limit * (1 - 1e-12)))
+    high = np.minimum(np.searchsorted(levels, levels * (limit * (1 + 1e-12)), "right"), own)
+    for i in np.flatnonzero(low < high):
+        while low[i] < high[i] and not reaches(weight, threshold, agree, math.exp(-abs(math.log(levels[low[i]] / levels[i])))):
+            low[i] += 1
+    return np.minimum(low, own)
+
+
 def quantile_transplant(df: DataFrame, group: list[str], base: str, new: str, key: list[str], out: str = "calibrated") -> DataFrame:
     """Within each group the i-th best row by ``new`` gets the i-th largest ``base`` value: order changes, values don't.
 
