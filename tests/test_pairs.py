@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.operators import pairs
-from linkloom.plans import linkage
+from linkloom.plans import evidence, linkage
 from tests.oracle import rows
 
 NAN, INF = float("nan"), float("inf")
@@ -34,6 +34,12 @@ def former_score(spark, d):
     return joined(spark, d).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.round(agree, 6).alias("agreement"), F.round(aspect, 6).alias("aspect"), F.round(score, 6).alias("score"))
 
 
+def former_blend(spark, d):
+    told = [F.when((F.col(f"a.{c}") != "unknown") & (F.col(f"b.{c}") != "unknown"), (F.col(f"a.{c}") == F.col(f"b.{c}")).cast("double")) for c in ("kind", "word")]
+    visual = pairs.aspect_similarity(F.col("a.p_retailprice"), F.col("b.p_retailprice"))
+    return joined(spark, d).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.round(F.coalesce(0.75 * visual + 0.25 * pairs.ceding_score([(0.4, told[0]), (0.6, told[1])]), visual), 6).alias("score"))
+
+
 def same(x, y):
     assert x.columns == y.columns and x.dtypes == y.dtypes
     got, want = (rows(df.columns, [tuple(r) for r in df.collect()]) for df in (x, y))
@@ -44,7 +50,7 @@ def tasks_with_pairs(df):
     return df.groupBy(F.spark_partition_id().alias("p")).count().count()
 
 
-@pytest.mark.parametrize(("query", "former"), [(linkage.attribute_score, former_score)])
+@pytest.mark.parametrize(("query", "former"), [(linkage.attribute_score, former_score), (evidence.semantic_blend, former_blend)])
 def test_scored_pairs(spark, data, tmp_path, query, former):
     d = odd_parts(spark, tmp_path, [*ODD, NAN, INF, 1e300, 1e-300])
     same(query(spark, d), former(spark, d))
