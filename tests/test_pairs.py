@@ -82,7 +82,7 @@ def test_swept_pairs(spark, tmp_path, label):
     same(got, s.groupBy("weight", "threshold").agg(F.count_if(hit).alias("n_pairs"), F.count_if(hit & F.col("y")).alias("n_hits"), F.count_if("y").alias("n_true"), F.count(F.lit(1)).alias("n_all")))
 
 
-@pytest.mark.parametrize("query", [linkage.threshold_sweep])
+@pytest.mark.parametrize("query", [linkage.threshold_sweep, evidence.configuration_sweep])
 def test_sweeps_form_no_pairs(spark, data, tmp_path, query):
     assert "Join" not in query(spark, data)._jdf.queryExecution().executedPlan().toString()
     d = odd_parts(spark, tmp_path, [10.0, 1.0])
